@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafworks.llm import mixing, simhash, substring
+from leafworks.llm import mixing, packing, quality, simhash, substring
 from leafworks.llm._base import table
 
 
@@ -13,6 +13,15 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), size=1024, end=2)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(table(spark, sf_dir, "documents"), window=20, texts=False)
 
@@ -24,6 +33,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mix": op2_mix,
+    "op3_pack": op3_pack,
+    "op6_quality": op6_quality,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash": op9_simhash,
 }

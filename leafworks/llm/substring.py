@@ -95,21 +95,21 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-CHUNKS = "chunk bigint, ids binary, texts binary"
-
-
-def chunked(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` as settled chunks, each with the ids and texts of its rows."""
+def chunked(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """``docs(doc_id, text, *carry)`` as settled chunks, each with the values of its rows; ``carry``: strings."""
+    names = ["chunk", "ids", "texts", *[f"carry{i}" for i in range(len(carry))]]
+    schema = "chunk bigint, " + ", ".join(f"{x} binary" for x in names[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for k, batch in enumerate(slices(batches, "text")):
             ids = batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | k]), pa.array([squeeze(ids)], pa.binary()), pa.array([pack_texts(text_bytes(batch.column("text")))], pa.binary())], names=["chunk", "ids", "texts"]
-            )
+            packed = [pack_texts(text_bytes(batch.column("text")))]
+            for c in carry:  # a byte before each value tells nulls from empty strings
+                packed.append(pack_texts([b"" if x is None else b"=" + x.encode() for x in batch.column(c).to_pylist()]))
+            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k]), *[pa.array([x], pa.binary()) for x in (squeeze(ids), *packed)]], names=names)
 
-    return settle(docs.select("doc_id", "text").mapInArrow(run, CHUNKS), "passage-chunks")
+    return settle(docs.select("doc_id", "text", *carry).mapInArrow(run, schema), "passage-chunks")
 
 
 def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
@@ -262,11 +262,22 @@ def windows_again(chunks: DataFrame, hits: DataFrame, window: int) -> DataFrame:
             if out:
                 yield _rows(["chunk", "at"], [pa.int64(), pa.binary()], out)
 
-    joined = chunks.join(_gathered(hits), "chunk")
+    joined = chunks.select("chunk", "ids", "texts").join(_gathered(hits), "chunk")
     entries = joined.mapInArrow(emit, "bucket int, chunk bigint, h binary, ids binary, place binary, at binary, known binary")
     return entries.repartition(width(chunks.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(match, "chunk bigint, at binary")
 
 
+def cleaned(docs: DataFrame, window: int = 20) -> DataFrame:
+    """``docs(doc_id, text, lang, source, n_chars)`` with the texts that ``without_repeats`` leaves.
+
+    The other columns travel as they are, but n_chars is that of the new text. No row goes: a text of which
+    nothing is left becomes empty.
+    """
+    return without_repeats(docs, window, carry=["lang", "source"]).select(
+        "doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars")
+    )
+
+
 def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     """Whether each of ``n`` words lies in a window that begins at one of ``starts``."""
     marks = np.zeros(n + window + 1, np.int64)
@@ -275,8 +286,8 @@ def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(marks)[:n] > 0
 
 
-def without_repeats(docs: DataFrame, window: int = 20, texts: bool = True) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_sha256[, text, spans])`` of every row of ``docs(doc_id, text)``.
+def without_repeats(docs: DataFrame, window: int = 20, texts: bool = True, carry: list[str] | None = None) -> DataFrame:
+    """``(doc_id, n_words, n_removed, kept_sha256[, text, spans], *carry)`` of every row of ``docs(doc_id, text)``.
 
     A word goes if a window of ``window`` words over it has a sequence that starts earlier as well: at a
     smaller doc_id, or earlier in the same document. ``text`` is the input's where nothing goes, else the
@@ -288,10 +299,12 @@ def without_repeats(docs: DataFrame, window: int = 20, texts: bool = True) -> Da
     """
     if window < ANCHOR + PERIOD - 1:
         raise ValueError(f"window must be at least {ANCHOR + PERIOD - 1}")
-    chunks = chunked(docs)
+    carry = carry or []
+    chunks = chunked(docs, carry)
     again = windows_again(chunks, anchors_again(chunks, window), window)
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
     fields += [("text", pa.string()), ("spans", pa.list_(pa.list_(pa.int32())))] * texts
+    fields += [(c, pa.string()) for c in carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
@@ -301,6 +314,7 @@ def without_repeats(docs: DataFrame, window: int = 20, texts: bool = True) -> Da
             ends = np.cumsum([len(x) for x in words], dtype=np.int64)
             starts = [undeltas(x) for x in row["ats"] or ()]
             gone = covered(np.concatenate(starts), int(ends[-1]), window) if starts else None
+            others = [[x[1:].decode() if x else None for x in unpack_texts(row[f"carry{k}"])] for k in range(len(carry))]
             rows = []
             for i, own in enumerate(words):
                 cut = gone[ends[i] - len(own) : ends[i]] if gone is not None else None
@@ -311,8 +325,8 @@ def without_repeats(docs: DataFrame, window: int = 20, texts: bool = True) -> Da
                 if texts:
                     edges = np.flatnonzero(np.diff(np.concatenate(([0], cut, [0])).astype(np.int8))).reshape(-1, 2).tolist() if n else []
                     out += ((joined if n else raw[i]).decode("utf-8", "replace"), edges)
-                rows.append(out)
+                rows.append(out + tuple(x[i] for x in others))
             yield _rows([x for x, _ in fields], [x for _, x in fields], rows)
 
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", text string, spans array<array<int>>" * texts
+    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", text string, spans array<array<int>>" * texts + "".join(f", {c} string" for c in carry)
     return chunks.join(_gathered(again), "chunk", "left").mapInArrow(run, schema)
