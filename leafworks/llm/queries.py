@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafworks.llm import mixing, packing, quality, simhash, substring
+from leafworks.llm import hmm, mixing, packing, quality, simhash, substring, tokencount, urls
 from leafworks.llm._base import table
 
 
+def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -22,6 +26,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(table(spark, sf_dir, "documents"), window=20, texts=False)
 
@@ -31,11 +39,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "template", "score")
+
+
 QUERIES = {
+    "op1_hmm": op1_hmm,
     "op2_mix": op2_mix,
     "op3_pack": op3_pack,
     "op6_quality": op6_quality,
+    "op7_token_counts": op7_token_counts,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash": op9_simhash,
+    "op10_url_filter": op10_url_filter,
 }
 ORACLE_SQL: dict[str, str] = {}
