@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafworks.llm import hmm, mixing, packing, quality, simhash, substring, tokencount, urls
+from leafworks.llm import ann, hmm, mixing, packing, quality, simhash, substring, tokencount, topk, urls
 from leafworks.llm._base import table
 
 
@@ -21,6 +21,14 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), size=1024, end=2)
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.quantised_top_k(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
@@ -47,6 +55,8 @@ QUERIES = {
     "op1_hmm": op1_hmm,
     "op2_mix": op2_mix,
     "op3_pack": op3_pack,
+    "op4_ann": op4_ann,
+    "op5_topk": op5_topk,
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op8_substring_dedup": op8_substring_dedup,
