@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 
 from leafworks.llm._base import CHUNK_BYTES, slices
 
-MARK, UNKNOWN = "▁", 10.0
-SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+MARK, UNKNOWN = "\u2581", 10.0
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Words whose counts a task remembers, and the longest of them.
 REMEMBERED, LONGEST = 300_000, 64
 
