@@ -88,10 +88,21 @@ def undeltas(blob: bytes) -> np.ndarray:
     return np.cumsum(unsqueeze(blob, np.uint32), dtype=np.int64)
 
 
+def low_bytes(array: np.ndarray, n: int) -> bytes:
+    """The low ``n`` bytes of unsigned 64-bit numbers."""
+    return array.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
+
+
+def from_low_bytes(blob: bytes, n: int) -> np.ndarray:
+    out = np.zeros((len(blob) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(blob, np.uint8).reshape(-1, n)
+    return out.view("<u8").ravel()
+
+
 def pack_texts(texts: list[bytes]) -> bytes:
     lengths = np.array([len(x) for x in texts], dtype=np.uint32)
     raw = struct.pack("<I", len(texts)) + lengths.tobytes() + b"".join(texts)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=5).compress(raw)
 
 
 def unpack_texts(blob: bytes) -> list[bytes]:

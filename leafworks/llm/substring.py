@@ -7,7 +7,7 @@ to cover positions, so two equal windows of ANCHOR + PERIOD - 1 words or more sh
 
 1. Texts are written once as compressed chunks; every later step deals with chunks.
 2. Anchors, first combined in the chunk, are dealt out by hash; those that occur again go back.
-3. Windows around such anchors (the matches extended to the full length) are hashed whole with 128 bits,
+3. Windows around such anchors (the matches extended to the full length) are hashed whole with 96 bits,
    combined in the chunk and dealt out by hash; all but the earliest of each go back as repeated.
 4. The words under repeated windows go.
 
@@ -26,9 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafworks.llm._base import deltas, pack_texts, settle, slices, squeeze, text_bytes, undeltas, unpack_texts, unsqueeze, width
+from leafworks.llm._base import deltas, from_low_bytes, low_bytes, pack_texts, settle, slices, squeeze, text_bytes, undeltas, unpack_texts, unsqueeze, width
 
 PERIOD, COVER, ANCHOR = 13, (0, 1, 3, 9), 8
+#: Bytes of an anchor's hash beside its bucket (a clash costs a comparison), and of a window's second hash.
+NEAR, EXACT = 6, 4
 #: A row without an id comes after all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -164,7 +166,7 @@ def anchors_again(chunks: DataFrame, window: int) -> DataFrame:
             for k in range(buckets):
                 x, y = order[cut[k] : cut[k + 1]], order2[cut2[k] : cut2[k + 1]]
                 if len(x) or len(y):
-                    rows.append((k, row["chunk"], h[x].tobytes(), deltas(at[x]), often[y].tobytes(), None))
+                    rows.append((k, row["chunk"], low_bytes(h[x], NEAR), deltas(at[x]), low_bytes(often[y], NEAR), None))
             if len(known):
                 rows.append((row["chunk"] % buckets, row["chunk"], None, None, None, deltas(known)))
             yield _rows(names, kinds, rows)
@@ -173,8 +175,8 @@ def anchors_again(chunks: DataFrame, window: int) -> DataFrame:
         for held in _by_bucket(batches):
             out = [(r["chunk"], r["known"]) for r in held if r["known"] is not None]
             held = [r for r in held if r["known"] is None]
-            once = [np.frombuffer(r["once"], np.uint64) for r in held]
-            h = np.concatenate([*once, *(np.frombuffer(r["often"], np.uint64) for r in held), np.zeros(0, np.uint64)])
+            once = [from_low_bytes(r["once"], NEAR) for r in held]
+            h = np.concatenate([*once, *(from_low_bytes(r["often"], NEAR) for r in held), np.zeros(0, np.uint64)])
             order = np.argsort(h, kind="stable")
             new = _runs(h[order])
             count = np.diff(np.append(np.flatnonzero(new), len(h)))
@@ -201,7 +203,7 @@ def _gathered(replies: DataFrame) -> DataFrame:
 def windows_again(chunks: DataFrame, hits: DataFrame, window: int) -> DataFrame:
     """``(chunk, at)``: starts (in the chunk) of windows whose sequence starts earlier too, as packed arrays."""
     buckets = 4 * width(chunks.sparkSession)
-    names, kinds = ["bucket", "chunk", "h", "ids", "place", "at", "known"], [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+    names, kinds = ["bucket", "chunk", "h1", "h2", "ids", "place", "at", "known"], [pa.int32(), pa.int64(), *[pa.binary()] * 6]
     reach = window - ANCHOR
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +218,7 @@ def windows_again(chunks: DataFrame, hits: DataFrame, window: int) -> DataFrame:
             seen = np.cumsum(marks)
             n = max(0, len(hashes) - window + 1)
             at = np.flatnonzero((seen[reach + 1 : reach + 1 + n] > seen[:n]) & (left[:n] >= window))
-            h1, h2 = window_hashes(hashes, window)[at], window_hashes(hashes, window, 0x5BD1E995)[at]
+            h1, h2 = window_hashes(hashes, window)[at], window_hashes(hashes, window, 0x5BD1E995)[at] & np.uint64((1 << 8 * EXACT) - 1)
             ids, place = ids[at], place[at]
             order = np.lexsort((place, ids, h2, h1))
             h1, h2, ids, place, at = (x[order] for x in (h1, h2, ids, place, at))
@@ -232,9 +234,9 @@ def windows_again(chunks: DataFrame, hits: DataFrame, window: int) -> DataFrame:
             rows = []
             for k in range(buckets):
                 if len(x := order[cut[k] : cut[k + 1]]):
-                    rows.append((k, row["chunk"], h1[x].tobytes() + h2[x].tobytes(), squeeze(ids[x]), squeeze(place[x].astype(np.uint32)), deltas(at[x]), None))
+                    rows.append((k, row["chunk"], low_bytes(h1[x], 8), low_bytes(h2[x], EXACT), squeeze(ids[x]), squeeze(place[x].astype(np.uint32)), deltas(at[x]), None))
             if len(known):
-                rows.append((row["chunk"] % buckets, row["chunk"], None, None, None, None, deltas(known)))
+                rows.append((row["chunk"] % buckets, row["chunk"], None, None, None, None, None, deltas(known)))
             if rows:
                 yield _rows(names, kinds, rows)
 
@@ -243,9 +245,9 @@ def windows_again(chunks: DataFrame, hits: DataFrame, window: int) -> DataFrame:
             out = [(r["chunk"], r["known"]) for r in held if r["known"] is not None]
             held = [r for r in held if r["known"] is None]
             if held:
-                both = [np.frombuffer(r["h"], np.uint64) for r in held]
-                size = [len(x) // 2 for x in both]
-                h1, h2 = np.concatenate([x[: len(x) // 2] for x in both]), np.concatenate([x[len(x) // 2 :] for x in both])
+                first = [from_low_bytes(r["h1"], 8) for r in held]
+                size = [len(x) for x in first]
+                h1, h2 = np.concatenate(first), np.concatenate([from_low_bytes(r["h2"], EXACT) for r in held])
                 ids = np.concatenate([unsqueeze(r["ids"], np.int64) for r in held])
                 place = np.concatenate([unsqueeze(r["place"], np.uint32) for r in held])
                 order = np.lexsort((place, ids, h2, h1))
@@ -263,7 +265,7 @@ def windows_again(chunks: DataFrame, hits: DataFrame, window: int) -> DataFrame:
                 yield _rows(["chunk", "at"], [pa.int64(), pa.binary()], out)
 
     joined = chunks.select("chunk", "ids", "texts").join(_gathered(hits), "chunk")
-    entries = joined.mapInArrow(emit, "bucket int, chunk bigint, h binary, ids binary, place binary, at binary, known binary")
+    entries = joined.mapInArrow(emit, "bucket int, chunk bigint, h1 binary, h2 binary, ids binary, place binary, at binary, known binary")
     return entries.repartition(width(chunks.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(match, "chunk bigint, at binary")
 
 
