@@ -126,7 +126,7 @@ def digital_gate(pages: DataFrame, doc: str = "doc") -> DataFrame:
         listed(scan).alias("scan_like_pages"),
         listed(over).alias("overlay_like_pages"),
         listed(flagged).alias("trusted_scan_like_pages"),
-        ~F.coalesce(F.bool_or(flagged), F.lit(False)).alias("gate_pass"),
+        (~F.coalesce(F.bool_or(flagged), F.lit(False))).alias("gate_pass"),
     )
 
 

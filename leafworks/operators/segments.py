@@ -52,9 +52,10 @@ def segments(pages: DataFrame, text: str = "text", least: int = RUN) -> DataFram
     new = F.when(F.lag("offset").over(w) == F.col("offset"), 0).otherwise(1)
     joined = wide.withColumn("_new", new).withColumn("_g", F.sum("_new").over(w)).groupBy("doc", "_g", "offset").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     made = joined.select("doc", "start", "end", "offset")
-    docs = pages.groupBy("doc").agg(F.max("page").cast("int").alias("end"))
-    none = docs.join(made.select("doc").distinct(), "doc", "left_anti").select("doc", F.lit(1).alias("start"), "end", F.lit(0).alias("offset"))
-    return made.unionByName(none)
+    docs = pages.groupBy("doc").agg(F.max("page").cast("int").alias("_last"))
+    # a left join, not a union: joins on the document follow, and they should not depend on a union's partitions
+    rows = docs.join(made, "doc", "left")
+    return rows.select("doc", F.coalesce("start", F.lit(1)).alias("start"), F.coalesce("end", "_last").alias("end"), F.coalesce("offset", F.lit(0)).alias("offset"))
 
 
 def resolve(printed: DataFrame, found: DataFrame, number: str = "printed") -> DataFrame:

@@ -1 +1 @@
-""""""
+"""Registered queries and the signals that they run over."""

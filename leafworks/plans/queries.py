@@ -113,15 +113,11 @@ def calibration(spark, sf_dir):
     return quality.percentiles(quality.score_pages(O.pages(spark, sf_dir)), ["doc"], "garble")
 
 
-@query(
-    """select l_orderkey as doc, l_linenumber as page, round(least(l_quantity / 50, 1) * 0.5 + l_discount, 4) as coverage,
-       round(least(l_quantity / 50, 1) * 0.5 + l_discount, 4) > 0.55 as scanned from lineitem where l_orderkey % 50 = 0 and false
-       union all select l_orderkey, l_linenumber, round(l_quantity / 50, 4), l_quantity / 50 > 0.9 from lineitem"""
-)
+@query("select o_orderkey as doc, 1 as page, round(o_totalprice / 400000, 4) as coverage, o_totalprice / 400000 > 0.9 as scanned from orders")
 def scanned_pages(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page"), "l_quantity")
-    images = rows.select("doc", "page", G.rect(F.lit(0.0), F.lit(0.0), F.col("l_quantity"), F.lit(1.0)).alias("bbox"))
-    found = quality.scanned_pages(images, rows.select("doc", "page", F.lit(50.0).alias("width"), F.lit(1.0).alias("height")))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.lit(1).alias("page"), "o_totalprice")
+    images = rows.select("doc", "page", G.rect(F.lit(0.0), F.lit(0.0), F.col("o_totalprice"), F.lit(1.0)).alias("bbox"))
+    found = quality.scanned_pages(images, rows.select("doc", "page", F.lit(400000.0).alias("width"), F.lit(1.0).alias("height")))
     return found.withColumn("coverage", F.round("coverage", 4))
 
 
@@ -143,9 +139,13 @@ def agreement_pages(spark, sf_dir):
     return _agreed(spark, sf_dir).select("doc", "page", "layer_chars", "agreement", "agreement_verdict")
 
 
+# binary floor division of multiples of 0.05, as Python has it; everything between is plain
+STEPS = " ".join(f"when {500 * k} then {int((k / 20) // 0.05)}" for k in range(21))
+
+
 @query(
-    """select doc, printf('%.2f+', least(0.95::double, round((agreement - fmod(agreement, 0.05::double)) / 0.05::double) * 0.05::double)) as bucket, count(*) as pages
-       from (select doc, agreement::double as agreement from agreed_ where agreement_verdict <> 'n/a') group by all""",
+    f"""select doc, printf('%.2f+', least(0.95::double, (case t {STEPS} else t // 500 end) * 0.05::double)) as bucket, count(*) as pages
+       from (select doc, cast(round(agreement * 10000) as int) as t from agreed_ where agreement_verdict <> 'n/a') group by all""",
     (O.PAGE_TEXT, AGREED),
 )
 def agreement_histogram(spark, sf_dir):
@@ -242,19 +242,23 @@ def pending_pages(spark, sf_dir):
 
 
 grams = lambda t, k: f"list_distinct([{t}[i:i+{k - 1}] for i in range(1, greatest(length({t}) - {k} + 2, 1))])"
+fours = lambda t: f"[array_to_string(string_split({t}, ' ')[i:i+3], ' ') for i in range(1, greatest(len(string_split({t}, ' ')) - 2, 1))]"
 
 
 @query(
     f"""select d.doc_id, b.item_id, round(len(list_intersect(b.g, {grams('d.text', 8)})) / len(b.g), 4) as share
-      from documents d join (select item_id, {grams('text', 8)} as g, substr(text, 1, 24) as head from benchmark where length(text) >= 24) b on position(b.head in d.text) > 0"""
+      from documents d join (select distinct doc_id, unnest({fours('text')}) as head from documents) h using (doc_id)
+      join (select item_id, {grams('text', 8)} as g, array_to_string(string_split(text, ' ')[1:4], ' ') as head from benchmark) b using (head)"""
 )
 def benchmark_containment(spark, sf_dir):
-    """How much of a benchmark text a document has, for documents in which its beginning occurs."""
-    heads = table(spark, sf_dir, "benchmark").filter(F.char_length("text") >= 24).select("item_id", F.col("text").alias("item"), F.substring("text", 1, 24).alias("head"))
-    # the beginning's first 24-gram is looked up by equality, not by comparing all pairs
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(X.grams(F.col("text"), 24)).alias("head"))
-    met = docs.join(F.broadcast(heads) if heads.count() <= 10_000 else heads, "head")
-    return met.select("doc_id", "item_id", X.containment(F.col("item"), F.col("text"), 8).alias("share"))
+    """How much of a benchmark text a document has, for documents in which its first four words occur.
+
+    Those are looked up by equality, so no pair is compared that has nothing in common."""
+    heads = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("head"))
+    words = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", " ").alias("w"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(4)), " "))
+    met = words.select("doc_id", F.explode(F.array_distinct(runs)).alias("head")).filter(F.size(F.split("head", " ")) == 4).join(heads, "head")
+    return met.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "item_id", X.containment(F.col("item"), F.col("text"), 8).alias("share"))
 
 
 # ---- segments
@@ -287,8 +291,9 @@ def page_segments(spark, sf_dir):
 
 
 @query(
-    """select e.doc, e.ord, e.printed, coalesce(arg_min(e.printed + s."offset", s."start") filter (e.printed between s."start" - s."offset" and s."end" - s."offset"),
-       greatest(1, least(e.printed + arg_max(s."offset", s."start"), max(s."end")))) as physical from entries_ e join segments_ s using (doc) where e.printed is not null group by all""",
+    """select doc, ord, printed, coalesce(hit, greatest(1, least(printed + last_offset, last_end))) as physical from (
+         select e.doc, e.ord, e.printed, arg_min(e.printed + s."offset", s."start") filter (e.printed between s."start" - s."offset" and s."end" - s."offset") as hit,
+           arg_max(s."offset", s."start") as last_offset, max(s."end") as last_end from entries_ e join segments_ s using (doc) where e.printed is not null group by e.doc, e.ord, e.printed)""",
     (O.PAGE_TEXT, O.ENTRIES, OFFSETS, SEGMENTS),
 )
 def resolved_pages(spark, sf_dir):
@@ -315,7 +320,7 @@ def line_pages(spark, sf_dir):
 
 
 MASK = r"\$\$.*?(?:\$\$|$)|\$[^$\n]+\$|\\\([^\n]*?\\\)|\\\[[^\n]*?\\\]"
-esc = lambda p: p.replace(r"\z", "$").replace("'", "''")
+esc = lambda p: p.replace(r"\z", "$").replace(r"\b(?:lim", r"(?:^|[^\pL\pN_])(?:lim").replace("'", "''")
 LINES = f"lines_ as (select doc, page, unnest(string_split(text, '{O.NL}')) as l, unnest(range(len(string_split(text, '{O.NL}')))) as line_no from pages_)"
 HITS = f"""m0 as (select *, {strip('l')} as bare, regexp_replace(l, '{esc(MASK)}', ' ', 'g') as masked from lines_),
 hits_ as (select doc, page, line_no, name from (select * from m0 where bare <> '' and not regexp_matches(bare, '^(?:<!--|#)') and not (masked = l and contains(l, '$')))
@@ -350,8 +355,9 @@ seg_ as (select doc, page, ord, unnest(list_filter(list_transform(string_split(t
 seg2 as (select *, regexp_replace(s, '{esc(MASK)}', ' ', 'g') as masked from seg_),
 sig_ as (select doc, page, ord, 'L1:' || name as sig from seg2 cross join (values {", ".join(f"('{k}', '{esc(p)}')" for k, p in formula.AMBIGUOUS.items())}) v(name, pattern) where regexp_matches(masked, pattern) and not (masked = s and contains(s, '$'))
   union select doc, page, ord, 'L3:' || name from seg2 cross join (values {CORRUPT_SQL}) v(name, pattern) where regexp_matches(s, pattern) and not (name = 'stuck_subscript' and contains(s, '_{{'))),
-judged_ as (select r1.doc, r1.page, r1.ord, r1.t, r1.tier, case when tier in ('empty', 'untrusted') and t = '' then 'empty' when count(sig) > 0 then 'suspect' when t = '' then 'empty' else 'pending_l3' end as verdict,
-  case when tier in ('empty', 'untrusted') and t = '' then '' else coalesce(string_agg(sig, ',' order by sig), '') end as signals from r1 left join sig_ using (doc, page, ord) group by all),
+r2 as (select doc, page, ord, t, tier, count(sig) as n, coalesce(string_agg(sig, ',' order by sig), '') as sigs from r1 left join sig_ using (doc, page, ord) group by doc, page, ord, t, tier),
+judged_ as (select *, case when tier in ('empty', 'untrusted') and t = '' then 'empty' when n > 0 then 'suspect' when t = '' then 'empty' else 'pending_l3' end as verdict,
+  case when tier in ('empty', 'untrusted') and t = '' then '' else sigs end as signals from r2),
 rank_ as (select *, case verdict when 'empty' then 1 when 'pending_l3' then 2 when 'unverified' then 3 when 'suspect' then 4 else 0 end as r from judged_)"""
 
 
@@ -415,13 +421,13 @@ def applied_decisions(spark, sf_dir):
         O.PAGE_TEXT,
         LINES,
         "l_ as (select doc, page, line_no, 72.0 + 12 * (line_no % 3) as x0, 72.0 + 14 * line_no as y0, 72.0 + 12 * (line_no % 3) + 6.0 * length(l) as x1, 84.0 + 14 * line_no as y1 from lines_)",
-        "rr_ as (select doc, page, line_no, x0 - 10 as x0, y0 - 6 as y0, x1 * 0.7 as x1, y1 + 20 as y1, greatest(x1 * 0.7 - x0 + 10, 0) * (y1 - y0 + 26) as area from l_ where line_no % 4 = 1)",
+        "rr_ as (select doc, page, line_no, x0 - 10 as x0, y0 - 5.3 as y0, x1 * 0.713 as x1, y1 + 20 as y1, greatest(x1 * 0.713 - x0 + 10, 0) * (y1 - y0 + 25.3) as area from l_ where line_no % 4 = 1)",
     ),
 )
 def covering_regions(spark, sf_dir):
     rows = O.lines(spark, sf_dir)
     b = F.col("bbox")
-    found = rows.filter("line_no % 4 = 1").select("doc", "page", F.col("line_no").alias("ord"), G.rect(b["x0"] - 10, b["y0"] - 6, b["x1"] * 0.7, b["y1"] + 20).alias("bbox"))
+    found = rows.filter("line_no % 4 = 1").select("doc", "page", F.col("line_no").alias("ord"), G.rect(b["x0"] - 10, b["y0"] - 5.3, b["x1"] * 0.713, b["y1"] + 20).alias("bbox"))
     hits = rows.select("doc", "page", F.col("line_no").alias("hit"), "bbox")
     return regions.smallest_covering(hits, found).select("doc", "page", "hit", "region_ord")
 
@@ -472,7 +478,7 @@ def best_toc_windows(spark, sf_dir):
     return outline.best_windows(outline.page_shapes(O.pages(spark, sf_dir)))
 
 
-ENTRY_LINES = """e0 as (select doc, ord, concat(title, ' ... ', coalesce(cast(printed as varchar), 'xiv')) as line, printed, title from entries_)"""
+ENTRY_LINES = """e0 as (select doc, ord, concat(title, ' ... ', coalesce(cast(printed as varchar), 'xiv')) as line, printed, title from entries_ where not contains(title, chr(10)))"""
 
 
 @query(
@@ -483,7 +489,7 @@ ENTRY_LINES = """e0 as (select doc, ord, concat(title, ' ... ', coalesce(cast(pr
     (O.PAGE_TEXT, O.ENTRIES, ENTRY_LINES),
 )
 def parsed_entries(spark, sf_dir):
-    rows = O.entries(spark, sf_dir).filter("printed is null or printed > 0")
+    rows = O.entries(spark, sf_dir).filter("(printed is null or printed > 0) and not contains(title, chr(10))")
     line = F.concat("title", F.lit(" ... "), F.coalesce(F.col("printed").cast("string"), F.lit("xiv")))
     pages = rows.select("doc", F.col("ord").alias("page"), line.alias("text"))
     found = outline.parse_entries(pages).filter("title is not null")
@@ -513,8 +519,8 @@ ORACLE_SQL["outline_levels"] = "with recursive " + O.PAGE_TEXT + "," + O.ENTRIES
         "d_ as (select distinct doc, page, x from x_)",
         "n_ as (select *, case when x - lag(x) over (partition by doc, page order by x) >= 0.015 then 1 else 0 end as n from d_)",
         "k_ as (select *, sum(n) over (partition by doc, page order by x) as g from n_)",
-        "c_ as (select doc, page, g, avg(x) as at from k_ group by all)",
-        "st_ as (select doc, page, list_sort(list(at)) as starts from c_ group by all)",
+        "c_ as (select doc, page, g, avg(x) as mid from k_ group by all)",
+        "st_ as (select doc, page, list_sort(list(mid)) as starts from c_ group by all)",
     ),
 )
 def level_clusters(spark, sf_dir):
@@ -564,9 +570,12 @@ def outline_checks(spark, sf_dir):
 
 
 @query(
-    f"""select doc_id, case when cut is null then len(ls) else cut - 1 end as lines from (
-        select doc_id, string_split(text, '{O.NL}') as ls, (select min(i) from (select i, l, row_number() over (partition by l order by i) as k from (select unnest(string_split(text, '{O.NL}')) as l, unnest(range(1, len(string_split(text, '{O.NL}')) + 1)) as i)) where k = 2 and {strip('l')} <> '') as cut from documents)
-      where not contains(text, '{O.NL * 4}') and coalesce(cut, len(ls)) <= 250""",
+    "select doc_id, case when cut is null then n else cut - 1 end as lines from n_ left join (select doc_id, min(i) as cut from k_ where k = 2 group by doc_id) using (doc_id) where coalesce(cut, n) <= 250",
+    (
+        f"u_ as (select doc_id, unnest(string_split(text, '{O.NL}')) as l, unnest(range(1, len(string_split(text, '{O.NL}')) + 1)) as i from documents where not contains(text, '{O.NL * 4}'))",
+        f"k_ as (select *, row_number() over (partition by doc_id, l order by i) as k from u_ where {strip('l')} <> '')",
+        "n_ as (select doc_id, count(*) as n from u_ group by doc_id)",
+    ),
 )
 def repetition_cuts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter(~F.contains("text", F.lit(O.NL * 4)))

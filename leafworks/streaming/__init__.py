@@ -1 +1 @@
-""""""
+"""Logs and events, in batch or as streams."""
