@@ -189,7 +189,7 @@ def _section_results(spark, sf_dir):
 
 
 @query(
-    """select doc, count(*) as sections, sum(suspect) as repair_pages, sum(suspect) * 30 as estimate_s, sum(suspect) * 30 > 2700 as needs_consent from (
+    """select doc, count(*) as sections, sum(suspect)::bigint as repair_pages, (sum(suspect) * 30)::bigint as estimate_s, sum(suspect) * 30 > 2700 as needs_consent from (
        select doc, (page - 1) // 5 as s, count(*) as audited, count(*) filter (verdict = 'suspect') as suspect from final_ where page % 9 <> 0 group by all)
        where suspect / audited >= 0.30 group by doc""",
     (O.PAGE_TEXT, AGREED, FINAL),
@@ -205,7 +205,7 @@ BLOCKS = """blocks_ as (select l_orderkey as doc, l_linenumber as page, case whe
 @query(
     """select doc, arbiter_score, below_floor, secondary_zero_chars, case when arbiter_score is null then null when arbiter_score < 0.75 or below_floor then 'suspect' else 'trusted' end as verdict from (
        select doc, round(sum(chars * score) filter (role = 'primary' and chars > 0) / sum(chars) filter (role = 'primary' and chars > 0), 4) as arbiter_score,
-         coalesce(bool_or(role = 'primary' and chars >= 20 and score < 0.70), false) as below_floor, coalesce(sum(chars) filter (role = 'secondary' and score < 0.3), 0) as secondary_zero_chars from blocks_ group by doc)""",
+         coalesce(bool_or(role = 'primary' and chars >= 20 and score < 0.70), false) as below_floor, coalesce(sum(chars) filter (role = 'secondary' and score < 0.3), 0)::bigint as secondary_zero_chars from blocks_ group by doc)""",
     (BLOCKS,),
 )
 def weighted_agreement(spark, sf_dir):
@@ -464,7 +464,7 @@ def page_shapes(spark, sf_dir):
 
 
 @query(
-    """select a.doc, a.page as "start", n.n as length, round(sum(b.score), 3) as score, sum(b.trails) as trails from shaped_ a cross join (select unnest(range(1, 9)) as n) n
+    """select a.doc, a.page as "start", n.n as length, round(sum(b.score), 3) as score, sum(b.trails)::bigint as trails from shaped_ a cross join (select unnest(range(1, 9)) as n) n
        join shaped_ b on a.doc = b.doc and b.page between a.page and a.page + n.n - 1 where a.page <= 30 and b.page <= 30 group by a.doc, a.page, n.n having count(*) = n.n and sum(b.trails) >= 3""",
     (O.PAGE_TEXT, SHAPES),
 )
@@ -586,7 +586,7 @@ def repetition_cuts(spark, sf_dir):
 # ---- numbers, status, state
 
 
-@query("select l_orderkey, l_linenumber, list_aggregate(range(lo, least(hi, lo + 400) + 1), 'sum') as total, least(hi, lo + 400) - lo + 1 as n from (select l_orderkey, l_linenumber, cast(l_quantity as int) as lo, cast(l_quantity as int) + cast(l_partkey % 900 as int) as hi from lineitem)")
+@query("select l_orderkey, l_linenumber, list_aggregate(range(lo, least(hi, lo + 400) + 1), 'sum')::bigint as total, least(hi, lo + 400) - lo + 1 as n from (select l_orderkey, l_linenumber, cast(l_quantity as int) as lo, cast(l_quantity as int) + cast(l_partkey % 900 as int) as hi from lineitem)")
 def page_ranges(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
     low = F.col("l_quantity").cast("int")
