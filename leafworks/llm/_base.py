@@ -6,10 +6,12 @@ so that a lost executor costs a re-read and not a re-computation of everything b
 
 from __future__ import annotations
 
+import contextlib
 import struct
 import tempfile
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a task works on at once.
 CHUNK_BYTES = 2 << 20
+#: Lists that take the paths which ``settle`` writes.
+_recorders: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +45,8 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/leafworks/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _recorders:
+        paths.append(path)
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
@@ -111,3 +117,24 @@ def unpack_texts(blob: bytes) -> list[bytes]:
     ends = 4 + 4 * n + np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64)
     starts = np.concatenate(([4 + 4 * n], ends[:-1])) if n else ends
     return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that are settled meanwhile."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders.remove(paths)
+
+
+def drop(spark: SparkSession, paths: list[str], reading: DataFrame | None = None) -> list[str]:
+    """Delete settled tables, but for those that ``reading`` comes from; returns what stays."""
+    held = [unquote(f) for f in reading.inputFiles()] if reading is not None else []
+    stays = [p for p in paths if any(p.split("://")[-1].lstrip("/") in f for f in held)]
+    for path in set(paths) - set(stays):
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return stays

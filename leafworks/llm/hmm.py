@@ -79,6 +79,27 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return settle(docs.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "hmm-counts")
 
 
+def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The words of ``counts(word, c)`` with the highest counts and these, ``most`` at most: all words whose count
+    reaches the smallest bar that so many or fewer reach. The bar comes from a histogram of counts (by powers
+    of 2 ** (1 / 16), then by count within the slice where it lies), so no task sends its own best words."""
+    power = F.floor(F.log2("c") * 16).cast("int")
+    left, bar = most, None
+    for row in counts.groupBy(power.alias("p")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("p")).collect():
+        if row.n > left:
+            inside = counts.filter(power == row.p).groupBy("c").count().orderBy(F.desc("c")).collect()
+            for c, n in inside:
+                if n > left:
+                    break
+                left, bar = left - n, c
+            break
+        left, bar = left - row.n, row.least
+    if bar is None:
+        return []
+    found = [(bytes(r.word), r.c) for r in counts.filter(F.col("c") >= bar).collect()]
+    return sorted(found, key=lambda x: (-x[1], x[0]))
+
+
 def symbol_counts(counts: DataFrame, words: list[bytes], ends: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and distinct words of each symbol."""
     spark = counts.sparkSession
@@ -296,7 +317,7 @@ def lm_scores(docs: DataFrame, states: int = STATES, frequent: int = FREQUENT, r
     tokens, kinds = counts.agg(F.sum("c"), F.count("*")).first()
     ends = docs.filter("train").count()
     n, v = (tokens or 0) + ends, kinds + (ends > 0)
-    top = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(frequent).collect()]
+    top = frequent_words(counts, frequent)
     words = [w for w, _ in top]
     per_symbol, distinct = symbol_counts(counts, words, ends)
     share = (per_symbol + 1) / (per_symbol.sum() + len(per_symbol))

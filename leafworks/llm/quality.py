@@ -154,7 +154,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, k
     """``keep`` columns (doc_id), held_out, score and predicted of every row of ``docs(doc_id, text)``.
 
     Without labels of both classes every score is the (smoothed) share of label 1. Null and blank texts
-    share one score; a row without an id is not held out; repeated rows are scored alike; an empty table
+    share one score; a row without an id counts as held out (its text is empty, and nothing is
+    learned from it); repeated rows are scored alike; an empty table
     gives an empty table; lang, source and ids are not inputs of a score.
     """
     scored = score(docs, train(docs, labels), keep)

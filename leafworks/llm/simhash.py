@@ -199,7 +199,8 @@ def one_of_each(docs: DataFrame, words: int = 5, budget: int = 4) -> DataFrame:
     kept = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows"))
     kept = settle(kept, "simhash-kept")
     again = kept.filter("_rows > 1")
-    joined = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))).select("d.*", "_rows")
+    # texts move here whatever the size of the table of ids, so that the plan is the same for all inputs
+    joined = docs.alias("d").join(kept.hint("merge").alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))).select("d.*", "_rows")
     if again.isEmpty():
         return joined.drop("_rows")
     return joined.filter("_rows = 1").drop("_rows").unionByName(joined.filter("_rows > 1").drop("_rows").dropDuplicates(["doc_id"]))

@@ -319,7 +319,7 @@ def line_pages(spark, sf_dir):
     return markdown.line_pages(books).groupBy("path", "page").agg(F.count("*").alias("lines"))
 
 
-MASK = r"\$\$.*?(?:\$\$|$)|\$[^$\n]+\$|\\\([^\n]*?\\\)|\\\[[^\n]*?\\\]"
+MASK = X.LATEX.replace(r"\z", "$")
 esc = lambda p: p.replace(r"\z", "$").replace(r"\b(?:lim", r"(?:^|[^\pL\pN_])(?:lim").replace("'", "''")
 LINES = f"lines_ as (select doc, page, unnest(string_split(text, '{O.NL}')) as l, unnest(range(len(string_split(text, '{O.NL}')))) as line_no from pages_)"
 HITS = f"""m0 as (select *, {strip('l')} as bare, regexp_replace(l, '{esc(MASK)}', ' ', 'g') as masked from lines_),

@@ -55,7 +55,7 @@ def pdf_lines(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, LINES)
 
 
-def endpoint(role: str, prefix: str = "PDFX") -> dict[str, str] | None:
+def endpoint(role: str, prefix: str = "LEAFWORKS") -> dict[str, str] | None:
     """A provider's settings from the environment: the role's own, else the general ones, else none."""
     name = "".join(c if c.isalnum() else "_" for c in role.upper())
     for stem in (f"{prefix}_{name}", prefix):

@@ -34,7 +34,7 @@ def test_sparse_section(spark):
 def test_page_marker(spark):
     routed = spark.createDataFrame([("d", 1, "page one"), ("d", 2, "")], "doc string, page int, out_text string")
     text = quality.assembled(routed).first().text
-    assert text.startswith("<!-- PDF_PAGE: 1 -->\n\npage one")
+    assert text.split("\n")[:3] == ["<!-- PDF_PAGE: 1 -->", "", "page one"]
     assert text.endswith("[No text extracted from page 2]")
     back = markdown.line_pages(spark.createDataFrame([("f", "---\ntitle: x\n---\n" + text)], "path string, text string"))
     assert {r.page for r in back.collect()} == {1, 2} and back.first()["mode"] == "explicit"
@@ -167,8 +167,8 @@ def test_frontmatter(spark):
 
 def test_status_lines(spark):
     lines = [
-        "noise", "PROGRESS phase=extract done=1 total=3 failed=0 elapsed_s=0", "PROGRESS phase=x done=1 done=2 total=3 failed=0 elapsed_s=0", "PROGRESS phase=x done=-1 total=3 failed=0 elapsed_s=0",
-        'RESULT {"status":"ok","phase":"p","done":true,"total":1,"failed":0,"elapsed_s":1}', 'RESULT {"status":"ok","phase":"p","done":1,"total":1,"failed":0,"elapsed_s":1}', "RESULT {bad",
+        "noise", "PROGRESS phase=read done=1 total=9 failed=0 elapsed_s=4", "PROGRESS phase=x done=1 done=2 total=3 failed=0 elapsed_s=0", "PROGRESS phase=x done=-1 total=3 failed=0 elapsed_s=0",
+        'RESULT {"phase":"p","status":"ok","done":true,"total":1,"failed":0,"elapsed_s":1}', 'RESULT {"phase":"p","status":"ok","done":1,"total":1,"failed":0,"elapsed_s":1}', "RESULT {bad",
         'ERROR {"status":"error","phase":"p","done":1,"total":1,"failed":1,"elapsed_s":1,"command":"c","code":"e","message":""}', 'ERROR {"status":"error","phase":"p","done":1,"total":1,"failed":1,"elapsed_s":1}',
     ]
     log = spark.createDataFrame(list(enumerate(lines)), "line_no int, line string")
