@@ -364,11 +364,37 @@ def test_near_duplicates(docs):
     for i, f in prints:
         least[root(f)] = min(least.get(root(f), i), i)
     assert all(r.component_id == least[root(r.fp & (1 << 64) - 1)] for r in got)
-    kept = simhash.one_of_each(docs(rows), words=4, budget=4)
+    kept = simhash.one_of_each(docs(rows), simhash.near_duplicates(docs(rows), words=4, budget=4))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
     assert simhash.near_duplicates(docs([]).limit(0)).collect() == []
 
 
+def test_similar_texts(docs):
+    rng = random.Random(12)
+    text = lambda n: [f"v{rng.randint(0, 5000)}" for _ in range(n)]
+    rows, group = [], {}
+    for g in range(60):
+        base = text(rng.randint(60, 400))
+        rows.append((10 * g, " ".join(base)))
+        group[10 * g] = 10 * g
+        for k in range(1, 4):  # copies with a word in 60 changed: similar; the last one half new: not
+            own = list(base)
+            for at in range(rng.randrange(60), len(own), 60):
+                own[at] = f"n{k}"
+            if k == 3:
+                own = own[: len(own) // 2] + text(len(own) - len(own) // 2)
+            rows.append((10 * g + k, " ".join(own)))
+            group[10 * g + k] = 10 * g if k < 3 else 10 * g + k
+    rows += [(9000, None), (9001, ""), (9002, "a b"), (9003, "A b"), (None, "only one"), rows[0]]
+    got = simhash.similar(docs(rows), words=5, similarity=0.8).collect()
+    assert len(got) == len(rows)
+    found = {r.doc_id: r.component_id for r in got}
+    assert (found[9000], found[9001], found[9002], found[9003], found[None]) == (9000, 9000, 9002, 9002, None)
+    assert sum(found[i] == c for i, c in group.items()) / len(group) >= 0.97
+    assert all(found[i] == i for i, c in group.items() if c == i)
+    assert simhash.similar(docs([]).limit(0)).collect() == []
+
+
 def test_hot_buckets_are_split_without_loss(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", 16)
     rng = random.Random(1)
