@@ -281,7 +281,9 @@ def baum_welch(chunks: DataFrame, model: Model, share: np.ndarray) -> Model:
 
 def warm_start(chunks: DataFrame, model: Model, share: np.ndarray, texts: int) -> Model:
     """Iterations over the first ``texts`` training texts of some chunks, to begin from."""
-    rows = chunks.select("chunk", "ids", "train", "lengths", "symbols").orderBy(F.xxhash64(F.lit(9), "chunk")).limit(4).collect()
+    # numbers alone are ordered, or else every task sends chunks
+    chosen = [r.chunk for r in chunks.select("chunk").orderBy(F.xxhash64(F.lit(9), "chunk")).limit(4).collect()]
+    rows = chunks.filter(F.col("chunk").isin(chosen)).select("train", "lengths", "symbols").orderBy(F.xxhash64(F.lit(9), "chunk")).collect()
     lengths, symbols = [], []
     for r in rows:
         n, flag, s = unsqueeze(bytes(r.lengths), np.int64), unsqueeze(bytes(r.train), np.uint8), unsqueeze(bytes(r.symbols), np.uint16)
