@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafworks.llm import ann, hmm, mixing, packing, quality, simhash, substring, tokencount, topk, urls
 from leafworks.llm._base import table
+from leafworks.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +64,3 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE_SQL: dict[str, str] = {}
