@@ -10,15 +10,11 @@ A bucket with more than ``HOT`` members is split into parts, and every pair of p
 own, so nothing is lost or gathered in one place. Tasks don't give out links but, for each fingerprint,
 the smallest one that it is connected with inside the task; ``connected`` joins those up.
 
-Few differing bits of 64 mean nearly equal texts. For a similarity of word shingles (``similar``) fingerprints
-are ``WIDE`` bits long, of which about acos(cosine) / pi differ, and the budget is that share of the bits and a
-standard deviation more. Their blocks have ``BLOCK_BITS`` bits: of pairs at a similarity of 0.8, 95 % agree in
-some block, of pairs at 0.9, more than 99.9 %.
+Few differing bits of 64 mean nearly equal texts. For a similarity of word shingles (``similar``) see ``shingles``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -30,13 +26,12 @@ from pyspark.sql import functions as F
 
 from leafworks.llm._base import CHUNK_BYTES, settle, slices, text_bytes, width
 from leafworks.llm.components import connected
+from leafworks.llm.shingles import similar_sets
 
 #: Members of a bucket beyond which it is split.
 HOT = 8192
 #: Comparisons that a task makes at once.
 AT_ONCE = 1 << 21
-#: Bits of the fingerprints for a similarity, and of the blocks that they are routed by.
-WIDE, BLOCK_BITS = 256, 12
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
@@ -73,29 +68,17 @@ def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
     return int(majority(shingle_hashes(text, words, seed)[:, None])[0])
 
 
-def wide_fingerprint(text: bytes, words: int) -> bytes:
-    """SimHash of ``WIDE`` bits; each shingle's further bits are mixed from its hash. No words: zeros."""
-    h = shingle_hashes(text, words)
-    x = h[:, None] + np.arange(WIDE // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return majority(x ^ (x >> np.uint64(31))).tobytes()
-
-
-def fingerprints(docs: DataFrame, words: int = 5, wide: bool = False) -> DataFrame:
-    """``(doc_id, fp)`` of every row of ``docs(doc_id, text)``; fp: a signed long, or the bytes of a wide one."""
+def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``(doc_id, fp)`` of every row of ``docs(doc_id, text)``; fp: a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 * CHUNK_BYTES):
             texts = text_bytes(batch.column("text"))
-            if wide:
-                fps = pa.array([wide_fingerprint(x, words) for x in texts], pa.binary())
-            else:
-                fps = pa.array(np.fromiter((fingerprint(x, words) for x in texts), np.uint64, len(texts)).view(np.int64))
+            fps = pa.array(np.fromiter((fingerprint(x, words) for x in texts), np.uint64, len(texts)).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], names=["doc_id", "fp"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, fp {'binary' if wide else 'bigint'}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, fp bigint")
 
 
 def blocks(budget: int) -> list[tuple[int, int]]:
@@ -183,31 +166,15 @@ def trie_links(keys: np.ndarray, pairs: np.ndarray, budget: int) -> np.ndarray:
 
 
 def _by_block(fps: DataFrame, budget: int) -> DataFrame:
-    """A row ``(fp, node, k, v)`` for each block of each fingerprint: the block's number and value."""
-    if "node" not in fps.columns:
-        value = lambda shift, bits: F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1))
-        own = F.array(*[F.struct(F.lit(k).alias("k"), value(*x).alias("v")) for k, x in enumerate(blocks(budget))])
-        return fps.select("fp", F.explode(own).alias("x")).select("fp", "x.*")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = WIDE // BLOCK_BITS
-        for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(-1, WIDE // 8)
-            bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : parts * BLOCK_BITS].reshape(-1, parts, BLOCK_BITS)
-            values = pa.array((bits @ (1 << np.arange(BLOCK_BITS))).ravel().astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("node"), pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, parts), pa.int32()), values)], names=["fp", "node", "values"])
-
-    valued = fps.select("fp", "node").mapInArrow(run, "fp binary, node bigint, values array<int>")
-    return valued.select("fp", "node", F.posexplode("values").alias("k", "v"))
+    """A row ``(fp, k, v)`` for each block of each fingerprint: the block's number and value."""
+    value = lambda shift, bits: F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1))
+    own = F.array(*[F.struct(F.lit(k).alias("k"), value(*x).alias("v")) for k, x in enumerate(blocks(budget))])
+    return fps.select("fp", F.explode(own).alias("x")).select("fp", "x.*")
 
 
 def links(fps: DataFrame, budget: int) -> DataFrame:
-    """``(a, b)``: edges that connect distinct fingerprints exactly as the links found in their blocks do.
-
-    ``fps(fp)``: longs, which name themselves in the edges; ``fps(fp, node)``: wide ones with their names.
-    """
+    """``(a, b)``: edges that connect distinct fingerprints ``fps(fp)`` exactly as the links found in their blocks do."""
     spread = _by_block(fps, budget)
-    named = "node" in spread.columns
     hot = spread.groupBy("k", "v").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("k", "v", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
     hot = settle(hot, "simhash-hot")
     columns = [*spread.columns[:-2], "k", "v"]
@@ -226,12 +193,8 @@ def links(fps: DataFrame, budget: int) -> DataFrame:
         rows = pa.Table.from_batches(batches, schema=None) if (batches := list(batches)) else None
         if rows is None or not rows.num_rows:
             return
-        if named:
-            node = rows.column("node").to_numpy()
-            words = np.frombuffer(b"".join(rows.column("fp").to_pylist()), "<u8").reshape(len(node), -1).T
-        else:
-            node = rows.column("fp").to_numpy()
-            words = node.view(np.uint64)[None, :]
+        node = rows.column("fp").to_numpy()
+        words = node.view(np.uint64)[None, :]
         k, v, i, j, side = (rows.column(c).to_numpy() for c in ("k", "v", "i", "j", "side"))
         order = np.lexsort((*words[::-1], side, j, i, v, k))
         node, k, v, i, j, side = (x[order] for x in (node, k, v, i, j, side))
@@ -264,27 +227,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, budget: int = 4) -> DataFra
     return components_of(prints, budget)
 
 
-def budget_for(similarity: float) -> int:
-    """Differing bits of wide fingerprints at a Jaccard ``similarity`` of shingles, and a standard deviation more."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(WIDE * share + math.sqrt(WIDE * share * (1 - share)))
-
-
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """As ``near_duplicates``, but rows are linked at a ``similarity`` of word shingles by wide fingerprints.
-
-    Equal texts are always linked, and so are texts that differ in a few words; close to ``similarity`` the
-    fingerprints estimate it with a standard deviation of about 0.05.
-    """
-    prints = settle(fingerprints(docs, words, wide=True), "simhash-prints")
-    return components_of(prints, budget_for(similarity))
+    """As ``near_duplicates``, but rows are linked if the Jaccard similarity of their distinct word shingles is
+    ``similarity`` or more, exactly; fp names the set of shingles."""
+    prints, roots = similar_sets(docs, words, similarity)
+    return named_by(prints, prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")), roots)
 
 
 def components_of(prints: DataFrame, budget: int) -> DataFrame:
-    wide = prints.schema["fp"].dataType.simpleString() == "binary"
-    name = F.monotonically_increasing_id() if wide else F.col("fp")
-    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", name), "simhash-distinct")
-    roots = connected(links(distinct.select("fp", "node") if wide else distinct.select("fp"), budget))
+    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")), "simhash-distinct")
+    return named_by(prints, distinct, connected(links(distinct.select("fp"), budget)))
+
+
+def named_by(prints: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """``prints(doc_id, fp)`` and the smallest doc_id of the component that ``roots(v, root)`` has for each fp."""
     rooted = settle(
         distinct.alias("d").join(roots.alias("r"), F.col("d.node") == F.col("r.v"), "left").select("d.fp", "d.least", F.coalesce("r.root", "d.node").alias("root")), "simhash-rooted"
     )

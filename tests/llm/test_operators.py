@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from leafworks.llm import ann, components, hmm, mixing, packing, quality, simhash, substring, tokencount, topk, urls
+from leafworks.llm import ann, components, hmm, mixing, packing, quality, shingles, simhash, substring, tokencount, topk, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -395,6 +395,35 @@ def test_similar_texts(docs):
     assert simhash.similar(docs([]).limit(0)).collect() == []
 
 
+def test_similar_is_exact(docs, monkeypatch):
+    monkeypatch.setattr(shingles, "SAMPLED", 1)
+    monkeypatch.setattr(shingles, "HOT", 8)
+    rng = random.Random(21)
+    text = lambda n: [f"v{rng.randint(0, 5000)}" for _ in range(n)]
+    line = text(14)
+    rows = [(k, " ".join(line * 20 + text(100))) for k in range(20)]  # a line 20 times and other words: not similar
+    for g in range(40):  # edits that leave similarities on both sides of 0.8
+        base = text(104)
+        rows.append((100 + 10 * g, " ".join(base)))
+        for k in range(1, 6):
+            own = list(base)
+            own[: 5 * k] = text(5 * k)
+            rows.append((100 + 10 * g + k, " ".join(own)))
+    rows.append((900, " ".join(["a b c d e f"] * 9)))
+    rows.append((901, " ".join(["a b c d e f"] * 3)))
+    of = {}
+    for i, x in rows:
+        w = x.split()
+        of[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    label = {i: i for i in of}
+    for a, b in itertools.combinations(of, 2):
+        if label[a] != label[b] and 5 * len(of[a] & of[b]) >= 4 * len(of[a] | of[b]):
+            lo, hi = sorted((label[a], label[b]))
+            label = {i: lo if c == hi else c for i, c in label.items()}
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs(rows), words=5, similarity=0.8).collect()}
+    assert got == label and 100 < len(set(label.values())) < len(rows)
+
+
 def test_hot_buckets_are_split_without_loss(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", 16)
     rng = random.Random(1)
