@@ -44,8 +44,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage(1)
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
-    docs = docs.select(*COLUMNS)
-    return simhash.one_of_each(docs, simhash.similar(docs, words=5, similarity=0.8))
+    return simhash.one_of_similar(docs.select(*COLUMNS), words=5, similarity=0.8)
 
 
 @_stage(2)

@@ -261,3 +261,12 @@ def one_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
     if again.isEmpty():
         return joined.drop("_rows")
     return joined.filter("_rows = 1").drop("_rows").unionByName(joined.filter("_rows > 1").drop("_rows").dropDuplicates(["doc_id"]))
+
+
+def one_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row left of each component of ``similar``: the one with the smallest id, nulls last. Rows
+    are told apart by id and text, so rows without an id, or with one id and different texts, count each for itself."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    own = docs.withColumn("doc_id", key)
+    kept = one_of_each(own, similar(own, words, similarity))
+    return kept.withColumn("doc_id", F.col("doc_id.id")).select(*docs.columns)

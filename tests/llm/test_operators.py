@@ -424,6 +424,14 @@ def test_similar_is_exact(docs, monkeypatch):
     assert got == label and 100 < len(set(label.values())) < len(rows)
 
 
+def test_one_row_of_each_component_without_ids(docs):
+    rng = random.Random(22)
+    a, b, c = (" ".join(f"v{rng.randint(0, 5000)}" for _ in range(100)) for _ in range(3))
+    rows = [(None, a), (None, a + " x"), (None, b), (7, c), (7, b + " y"), (8, c + " z"), (8, c + " z")]
+    kept = simhash.one_of_similar(docs(rows), words=5, similarity=0.8).collect()
+    assert sorted((r.doc_id or 0, r.text[:20]) for r in kept) == sorted([(0, a[:20]), (7, c[:20]), (7, b[:20])])
+
+
 def test_hot_buckets_are_split_without_loss(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", 16)
     rng = random.Random(1)
