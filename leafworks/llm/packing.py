@@ -62,25 +62,37 @@ class Encoder:
     """Texts to ids (little-endian unsigned 32-bit), as the tokenizers file has them.
 
     A byte-level BPE whose ids are its merge ranks is run by the faster of two equal implementations
-    (the tests hold it against the other); any other file by the ``tokenizers`` library.
+    (the tests hold it against the other); any other file by the ``tokenizers`` library, and so is a text
+    that the faster one gives up on (about a million white-space characters in a row).
     """
 
     def __init__(self, json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.json, self.fast, self._slow = json, None, None
         ranks = byte_ranks(json)
         if ranks:
             import tiktoken
 
             self.fast = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-        else:
+
+    @property
+    def slow(self):
+        if self._slow is None:
             from tokenizers import Tokenizer
 
-            self.fast, self.slow = None, Tokenizer.from_str(json)
-            self.slow.encode_special_tokens = True
+            self._slow = Tokenizer.from_str(self.json)
+            self._slow.encode_special_tokens = True
+        return self._slow
+
+    def one(self, text: str) -> bytes:
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        except ValueError:  # its regular expressions have a stack of a fixed size
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.fast:
-            return [self.fast.encode_to_numpy(x, disallowed_special=()).astype("<u4").tobytes() for x in texts]
+            return list(map(self.one, texts))
         return [np.array(x.ids, "<u4").tobytes() for x in self.slow.encode_batch_fast(texts, add_special_tokens=False)]
 
 
