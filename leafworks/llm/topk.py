@@ -1,12 +1,16 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
 Rows are dealt into blocks of about ``BLOCK``; each block is an index of its own: for every dimension,
-postings in segments by quantised value. For a query, segments are processed by descending quantised
-impact |query component x segment value| in rounds; accumulators hold the sums so far, and what is still
-open in each dimension bounds what a row may yet gain or lose. A round ends the search only on proof: when
-the rows whose upper bound reaches the k-th best lower bound are few enough to be rescored, all of them are
-scored exactly. Query blocks meet row blocks; each pair of blocks is one unit of work with k results
-for each query, and those are merged by query.
+postings (row, component) in segments by quantised component. For a query, segments are processed by
+descending quantised impact |query component x segment value|. Accumulators hold, for each row, the score so
+far and how much of the row's and of the query's squares is still unread; the product of the roots of those
+two bounds what the row may yet gain or lose (Cauchy and Schwarz). The rows that lead are scored exactly, and
+the k-th best of them is the bar. A search ends only on proof: rows whose bound lies below the bar are out,
+and once the others are so few that scoring them exactly costs less than reading on, they are scored.
+``Index.top`` tells how many postings it read.
+
+A block's index is built once, by the task that holds the block; packs of queries are sent to all blocks and
+read one after the other, and the k results of each block are merged by query.
 """
 
 from __future__ import annotations
@@ -21,10 +25,15 @@ from pyspark.sql import functions as F
 from leafworks.llm._base import settle, squeeze, unsqueeze, width
 from leafworks.llm.vectors import finite, matrix, same_length
 
-BLOCK, QUERIES = 8192, 1024
-#: Width of a posting segment, in units of a component.
-STEP = 64
-ROUNDS = (0.25, 0.5, 0.75, 1.0)
+BLOCK, QUERIES = 8192, 256
+#: Segments of a dimension: its components are quantised in steps of their standard deviation over this.
+FINE = 8
+#: Postings read between two looks at the bounds, as a share of all; and of the first look.
+ROUND, FIRST = 0.05, 0.3
+#: Rows that lead and are scored for the bar, in multiples of k.
+LEADS = 4
+#: The search ends when scoring the rows that are left costs this share of reading on.
+WORTH = 2 / 3
 
 
 class Index:
@@ -32,55 +41,56 @@ class Index:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
-        level = rows // STEP
         n, d = rows.shape
+        self.norms = (rows.astype(float) ** 2).sum(axis=1)
+        step = max(1.0, np.floor(rows.std() / FINE)) if n else 1.0
+        level = np.floor(rows / step).astype(np.int64)
         base = level.min(axis=0) if n else np.zeros(d, np.int64)
         span = int((level - base).max()) + 1 if n else 1
         key = (np.arange(d)[None, :] * span + level - base).ravel()
         order = np.argsort(key, kind="stable")
         found, starts = np.unique(key[order], return_index=True)
         self.who = (order // d).astype(np.int32)
+        self.value = rows.ravel()[order].astype(float)
         self.starts, self.ends = starts, np.append(starts[1:], len(order))
         self.dim = found // span
-        self.low = (found % span + base[self.dim]) * STEP  # components lie in [low, low + STEP)
-
-    def top(self, query: np.ndarray, k: int, banned: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row numbers, scores) of rows that may be among the k best; all that are, are there."""
-        n = len(self.ids)
-        q = query[self.dim]
-        middle = self.low + (STEP - 1) / 2
-        part = q * middle
-        slack = np.abs(query).sum() * (STEP - 1) / 2
-        order = np.argsort(-np.abs(part), kind="stable")
-        size = (self.ends - self.starts)[order]
-        done = np.cumsum(size)
-        scores, at = np.zeros(n), 0
-        for share in ROUNDS:
-            to = int(np.searchsorted(done, share * done[-1])) + 1 if share < 1 else len(order)
+        self.middle = (found % span + base[self.dim] + 0.5) * step
+
+    def top(self, query: np.ndarray, k: int, banned: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(row numbers, exact scores, postings read) of rows that may be among the k best; all that are, are there."""
+        n, d = self.rows.shape
+        everyone = np.arange(n)
+        if n - (banned >= 0) <= k:
+            members = everyone[everyone != banned]
+            return members, self.rows[members] @ query, 0
+        q = query.astype(float)
+        order = np.argsort(-np.abs(q[self.dim] * self.middle), kind="stable")
+        done = np.cumsum((self.ends - self.starts)[order])
+        score, own, asked = np.zeros(n), self.norms.copy(), np.full(n, float(q @ q))
+        at, read, bar = 0, 0, -np.inf
+        tiny = 1e-9 * (1 + np.sqrt(self.norms.max() * (q @ q)))  # sums of doubles
+        members, share = everyone, FIRST
+        while at < len(order):
+            to = min(len(order), int(np.searchsorted(done, share * done[-1])) + 1)
             some = order[at:to]
-            if len(some):
-                lengths = self.ends[some] - self.starts[some]
-                place = np.arange(lengths.sum()) + np.repeat(self.starts[some] - (np.cumsum(lengths) - lengths), lengths)
-                scores += np.bincount(self.who[place], np.repeat(part[some], lengths), n)
-                at = to
-            left = order[at:]
-            gain, loss = np.zeros(len(query)), np.zeros(len(query))
-            np.maximum.at(gain, self.dim[left], part[left])
-            np.minimum.at(loss, self.dim[left], part[left])
-            up, down = gain.sum() + slack, loss.sum() - slack
-            pool = scores if banned < 0 else np.delete(scores, banned)
-            if len(pool) <= k:
+            sizes = self.ends[some] - self.starts[some]
+            place = np.arange(sizes.sum()) + np.repeat(self.starts[some] - (np.cumsum(sizes) - sizes), sizes)
+            who, value, part = self.who[place], self.value[place], np.repeat(q[self.dim[some]], sizes)
+            score += np.bincount(who, part * value, n)
+            own -= np.bincount(who, value * value, n)
+            asked -= np.bincount(who, part * part, n)
+            at, read, share = to, read + len(place), share + ROUND
+            if banned >= 0:
+                score[banned] = -np.inf
+            lead = np.argpartition(score, n - LEADS * k)[n - LEADS * k :] if LEADS * k < n else everyone
+            lead = lead[lead != banned]
+            bar = max(bar, float(np.partition(self.rows[lead] @ query, len(lead) - k)[len(lead) - k]))
+            upper = score + np.sqrt(np.maximum(own, 0) * np.maximum(asked, 0)) + tiny
+            members = np.flatnonzero(upper >= bar)
+            if len(members) * d <= WORTH * (n * d - read):
                 break
-            bar = np.partition(pool, len(pool) - k)[len(pool) - k] + down
-            if (scores + up >= bar).sum() <= max(4 * k, n // 16) or share == 1:
-                members = np.flatnonzero(scores + up >= bar)
-                break
-        else:
-            members = np.arange(n)
-        if len(pool) <= k:
-            members = np.arange(n)
         members = members[members != banned]
-        return members, self.rows[members] @ query
+        return members, self.rows[members] @ query, read
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -127,28 +137,33 @@ def quantised_top_k(table: DataFrame, every: int = 100, k: int = 10, scale: int
     if m:
         first = asked.groupBy("vec_id").agg(F.min("rid").alias("rid"))
         asked = asked.join(first, ["vec_id", "rid"])
-    blocks, groups = max(1, -(-n // BLOCK)), max(1, -(-m // QUERIES))
-    left, right = blocked(rows, blocks, 1), blocked(asked, groups, 2)
-    left = left.select("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "ids", "rids", "numbers")
-    right = right.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("block").alias("group"), F.col("ids").alias("q_ids"), F.col("rids").alias("q_rids"), F.col("numbers").alias("q_numbers"))
+    blocks, packs = max(1, -(-n // BLOCK)), max(1, -(-m // QUERIES))
+    base = blocked(rows, blocks, 1).withColumn("pack", F.lit(-1))
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_to")
+    packed = blocked(asked, packs, 2).select(everywhere, F.col("block").alias("pack"), "ids", "rids", "numbers").withColumnRenamed("_to", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, index, rids = None, None, np.zeros(0, np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names if c not in ("block", "group")}
-                ids, rids, q_ids, q_rids = (unsqueeze(row[c], np.int64) for c in ("ids", "rids", "q_ids", "q_rids"))
-                index = Index(ids, unsqueeze(row["numbers"], np.int64).reshape(len(ids), -1))
-                queries = unsqueeze(row["q_numbers"], np.int64).reshape(len(q_ids), -1)
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                ids, own = unsqueeze(row["ids"], np.int64), unsqueeze(row["rids"], np.int64)
+                numbers = unsqueeze(row["numbers"], np.int64).reshape(len(ids), -1)
+                if row["pack"] < 0:  # a block comes before the queries that are put to it
+                    held, index, rids = row["block"], Index(ids, numbers), own
+                    continue
+                if held != row["block"]:  # no row was dealt into this block
+                    continue
                 out: list[tuple[np.ndarray, ...]] = []
-                for q, rid, vector in zip(q_ids, q_rids, queries):
+                for q, rid, vector in zip(ids, own, numbers):
                     at = int(np.searchsorted(rids, rid))
-                    found, scores = index.top(vector, k, at if at < len(rids) and rids[at] == rid else -1)
-                    keep = best(ids[found], scores, k)
-                    out.append((np.full(len(keep), q), ids[found][keep], scores[keep]))
+                    found, scores, _ = index.top(vector, k, at if at < len(rids) and rids[at] == rid else -1)
+                    keep = best(index.ids[found], scores, k)
+                    out.append((np.full(len(keep), q), index.ids[found][keep], scores[keep]))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[j] for x in out])) for j in range(3)], names=["query_id", "vec_id", "score"])
 
-    pairs = left.join(right, ["block", "group"]).repartition(2 * width(table.sparkSession), "block", "group")
-    found = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    both = base.unionByName(packed).repartition(max(1, min(blocks, 8 * width(table.sparkSession))), "block").sortWithinPartitions("block", "pack")
+    found = both.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
