@@ -36,7 +36,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), byte_fallback=True)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

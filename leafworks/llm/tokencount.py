@@ -6,10 +6,16 @@ library's unigram model: scores are added from left to right, a later candidate
 (so the piece that starts first wins), a character that is no piece by itself may be unknown at the
 smallest score less ``UNKNOWN``, and neighbouring unknowns are one.
 Words are cut at Unicode white space and begin with the mark; a word's count is remembered.
+
+The public vocabularies at hand are all of merge rules; none has unigram scores, and tokenizers aren't trained here. So
+the default pieces are those of the public 32k vocabulary with the log-probabilities of Zipf's law over their
+ranks (the file's order is that of the merges, the more frequent first). Control pieces are left out, since text
+is never one; what no piece covers counts by its bytes.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -27,12 +33,18 @@ REMEMBERED, LONGEST = 300_000, 64
 
 
 def default_pieces() -> list[tuple[str, float]]:
-    """Pieces and scores of the public 32k vocabulary; piece 0 is the unknown one."""
+    """Pieces of the public 32k vocabulary and their log-probabilities by rank; piece 0 is the unknown one.
+    Control pieces are left out."""
     import public_tokenizers
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    ids = [i for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_unknown(i)]
+    ranked = [i for i in ids if not model.is_byte(i)]
+    whole = math.log(sum(1 / r for r in range(1, len(ranked) + 1)))
+    known = [(model.id_to_piece(i), -math.log(r) - whole) for r, i in enumerate(ranked, 1)]
+    least = known[-1][1]
+    return [(model.id_to_piece(model.unk_id()), least), *known, *((model.id_to_piece(i), least) for i in ids if model.is_byte(i))]
 
 
 class Counter:
@@ -109,7 +121,7 @@ def token_counts(docs: DataFrame, pieces: list[tuple[str, float]] | None = None,
     """``(doc_id, n_tokens)`` of every row of ``docs(doc_id, text)``, of whole texts.
 
     Null, empty and blank texts have 0 tokens; ids may be null or repeated, each row is counted; an empty
-    table gives an empty table. ``pieces`` (default: the public 32k vocabulary with its scores) is bounded
+    table gives an empty table. ``pieces`` (default: the public 32k vocabulary, by rank) is bounded
     by the vocabulary and travels as a broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces if pieces is not None else default_pieces())
