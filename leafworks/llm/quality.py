@@ -110,13 +110,11 @@ def held_out(doc_id, mod: int, rest: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, float, float]:
-    """Fit to labelled rows that aren't held out; labels other than 0 and 1 count as none."""
-    chosen = (
-        labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
-        .filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
-        .orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id", "quality")
-        .limit(sample)
-    )
+    """Fit to labelled rows that aren't held out; labels other than 0 and 1 count as none, and so do those of
+    an id that is labelled both. Of documents that share an id the one with the smallest features is learned."""
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
+    agreed = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).filter("quality = _most")
+    chosen = agreed.select("doc_id", "quality").orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(sample)
     wanted = {r.doc_id: r.quality for r in chosen.collect()}  # sample rows at most
     spark = docs.sparkSession
     keys = F.broadcast(spark.createDataFrame([(k,) for k in wanted], "wanted long"))
@@ -128,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "grams"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(keys, F.col("doc_id") == F.col("wanted"), "left_semi").mapInArrow(run, "doc_id bigint, grams binary")
-    found = sorted({(r.doc_id, bytes(r.grams)) for r in rows.limit(2 * sample).collect()})
+    found = sorted((r.doc_id, bytes(r.grams)) for r in rows.groupBy("doc_id").agg(F.min("grams").alias("grams")).collect())
     return fit([np.frombuffer(g, np.int32).astype(np.int64) for _, g in found], np.array([wanted[d] for d, _ in found]))
 
 
