@@ -3,8 +3,9 @@
 Latent states emit symbols: the ``FREQUENT`` commonest words have one each, all others share a symbol
 with the words of the same ending, and the end of a text is a symbol. A rare word's probability is that
 of its symbol in the state, times (c + 1) / (n + v + 1) of its count c among the n tokens and v words of the
-symbol; the last 1 is left for words never seen. So every text has a proper probability, and the counts
-of all words of the training texts take part, however many they are.
+symbol; the last 1 is left for words never seen, which are one word to their symbol (as they are one to the
+base). So it is a proper probability of texts whose unseen words are told apart by their symbols only, and the
+counts of all words of the training texts take part, however many they are.
 
 1. Words are counted in tasks and summed by word (a table that grows with the corpus, never collected).
 2. Texts are encoded once as symbols; rare words travel beside them and are joined with their counts.
@@ -32,7 +33,11 @@ from leafworks.llm._base import pack_texts, settle, slices, squeeze, text_bytes,
 from leafworks.llm.quality import held_out
 
 STATES, FREQUENT, ENDINGS = 8, 32_768, 1024
-WARM, WARM_ROUNDS, ROUNDS = 400, 12, 2
+WARM, WARM_ROUNDS, ROUNDS = 400, 12, 3
+#: Iterations over all texts end when the log likelihood gains less than this share of itself.
+TOLERANCE = 2e-3
+#: About as many chunks make a task.
+CHUNKS_A_TASK = 64
 BLOCK = 2048
 #: Tokens that a task has in hand at once; a longer text is taken alone.
 TOKENS = 1_000_000
@@ -251,8 +256,8 @@ def _gathered(batches: Iterator[pa.RecordBatch], train: bool) -> Iterator[tuple]
         yield out()
 
 
-def baum_welch(chunks: DataFrame, model: Model, share: np.ndarray) -> Model:
-    """One iteration over all training texts."""
+def baum_welch(chunks: DataFrame, model: Model, share: np.ndarray, parts: int = 1) -> tuple[Model, float]:
+    """One iteration over all training texts: the next model, and the log likelihood (natural) under ``model``."""
     spark = chunks.sparkSession
     shared = spark.sparkContext.broadcast((model.start, model.move, model.emit))
     states, symbols = len(model.start), len(share)
@@ -260,23 +265,28 @@ def baum_welch(chunks: DataFrame, model: Model, share: np.ndarray) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
-        start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))
+        start, move, emit, likelihood = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states)), 0.0
         for _, _, _, _, lengths, seq in _gathered(batches, True):
-            expect(m, Ragged(seq, lengths), start, move, emit)
-        parts = [squeeze(emit[b * BLOCK : (b + 1) * BLOCK]) for b in range(blocks)] + [squeeze(np.concatenate([start, move.ravel()]))]
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks + 1), pa.int32()), pa.array(parts, pa.binary())], names=["block", "counts"])
+            likelihood += expect(m, Ragged(seq, lengths), start, move, emit)
+        blobs = [squeeze(emit[b * BLOCK : (b + 1) * BLOCK]) for b in range(blocks)] + [squeeze(np.concatenate([start, move.ravel(), [likelihood]]))]
+        yield pa.RecordBatch.from_arrays([pa.array(range(blocks + 1), pa.int32()), pa.array(blobs, pa.binary())], names=["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, x in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
                 sums[b] = sums.get(b, 0) + unsqueeze(x, float)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"])
-
-    summed = chunks.select("chunk", "ids", "train", "lengths", "symbols").mapInArrow(run, "block int, counts binary").repartition(blocks + 1, "block").mapInArrow(add, "block int, counts binary")
-    found = {r.block: np.frombuffer(r.counts) for r in summed.collect()}  # the model's size
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([squeeze(x) for x in sums.values()], pa.binary())], names=["block", "counts"])
+
+    # summed in two steps, so that no task adds up more than about the root of the number of tasks
+    made = chunks.select("chunk", "ids", "train", "lengths", "symbols").mapInArrow(run, "block int, counts binary")
+    if parts > 1:
+        made = made.withColumn("part", F.spark_partition_id() % parts).repartition((blocks + 1) * parts, "block", "part").mapInArrow(add, "block int, counts binary")
+    summed = made.repartition(blocks + 1, "block").mapInArrow(add, "block int, counts binary")
+    found = {r.block: unsqueeze(bytes(r.counts), float) for r in summed.collect()}  # the model's size
     emit = np.concatenate([found[b] for b in range(blocks)]).reshape(symbols, states)
-    return estimate(found[blocks][:states], found[blocks][states:].reshape(states, states), emit, share)
+    start, move, likelihood = np.split(found[blocks], [states, states + states * states])
+    return estimate(start, move.reshape(states, states), emit, share), float(likelihood[0])
 
 
 def warm_start(chunks: DataFrame, model: Model, share: np.ndarray, texts: int) -> Model:
@@ -303,7 +313,7 @@ def warm_start(chunks: DataFrame, model: Model, share: np.ndarray, texts: int) -
     return model
 
 
-def lm_scores(docs: DataFrame, states: int = STATES, frequent: int = FREQUENT, rounds: int = ROUNDS, seed: int = 3) -> DataFrame:
+def lm_scores(docs: DataFrame, states: int = STATES, frequent: int = FREQUENT, rounds: int = ROUNDS, seed: int = 3, tolerance: float = TOLERANCE) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of ``docs(doc_id, text)``.
 
     Learns from rows whose crc32 of the id (as text) mod 7 isn't 2. base_score: add-one unigram; score:
@@ -325,8 +335,12 @@ def lm_scores(docs: DataFrame, states: int = STATES, frequent: int = FREQUENT, r
     share = (per_symbol + 1) / (per_symbol.sum() + len(per_symbol))
     chunks = encoded(docs, words)
     model = warm_start(chunks, first_model(states, share, seed), share, WARM)
+    parts, before = math.isqrt(chunks.count() // CHUNKS_A_TASK), None
     for _ in range(rounds):
-        model = baum_welch(chunks, model, share)
+        model, likelihood = baum_welch(chunks, model, share, parts)
+        if before is not None and likelihood - before < tolerance * abs(before):
+            break
+        before = likelihood
 
     # what a token adds besides its symbol: nothing, or the part of a rare symbol that all its words share
     spread, known = np.zeros(len(share)), np.zeros(len(share))
