@@ -31,6 +31,8 @@ from leafworks.llm._base import deltas, from_low_bytes, low_bytes, pack_texts, s
 PERIOD, COVER, ANCHOR = 13, (0, 1, 3, 9), 8
 #: Bytes of an anchor's hash beside its bucket (a clash costs a comparison), and of a window's second hash.
 NEAR, EXACT = 6, 4
+#: Chunks (of about 2 MB of text each) whose share a bucket holds.
+PER_BUCKET = 16
 #: A row without an id comes after all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -135,9 +137,13 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def anchors_again(chunks: DataFrame, window: int) -> DataFrame:
+def bucket_count(chunks: DataFrame) -> int:
+    """Buckets by the input's size, each with what about PER_BUCKET chunks have, so that a task holds a fixed amount."""
+    return max(4 * width(chunks.sparkSession), chunks.count() // PER_BUCKET)
+
+
+def anchors_again(chunks: DataFrame, window: int, buckets: int) -> DataFrame:
     """``(chunk, at)``: places (in the chunk) of anchors that occur more than once, as packed arrays."""
-    buckets = 4 * width(chunks.sparkSession)
     names, kinds = ["bucket", "chunk", "once", "at", "often", "known"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +198,7 @@ def anchors_again(chunks: DataFrame, window: int) -> DataFrame:
                 yield _rows(["chunk", "at"], [pa.int64(), pa.binary()], out)
 
     entries = chunks.select("chunk", "texts").mapInArrow(emit, "bucket int, chunk bigint, once binary, at binary, often binary, known binary")
-    return entries.repartition(width(chunks.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(match, "chunk bigint, at binary")
+    return entries.repartition(max(width(chunks.sparkSession), buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(match, "chunk bigint, at binary")
 
 
 def _gathered(replies: DataFrame) -> DataFrame:
@@ -200,9 +206,8 @@ def _gathered(replies: DataFrame) -> DataFrame:
     return replies.groupBy("chunk").agg(F.collect_list("at").alias("ats"))
 
 
-def windows_again(chunks: DataFrame, hits: DataFrame, window: int) -> DataFrame:
+def windows_again(chunks: DataFrame, hits: DataFrame, window: int, buckets: int) -> DataFrame:
     """``(chunk, at)``: starts (in the chunk) of windows whose sequence starts earlier too, as packed arrays."""
-    buckets = 4 * width(chunks.sparkSession)
     names, kinds = ["bucket", "chunk", "h1", "h2", "ids", "place", "at", "known"], [pa.int32(), pa.int64(), *[pa.binary()] * 6]
     reach = window - ANCHOR
 
@@ -266,7 +271,7 @@ def windows_again(chunks: DataFrame, hits: DataFrame, window: int) -> DataFrame:
 
     joined = chunks.select("chunk", "ids", "texts").join(_gathered(hits), "chunk")
     entries = joined.mapInArrow(emit, "bucket int, chunk bigint, h1 binary, h2 binary, ids binary, place binary, at binary, known binary")
-    return entries.repartition(width(chunks.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(match, "chunk bigint, at binary")
+    return entries.repartition(max(width(chunks.sparkSession), buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(match, "chunk bigint, at binary")
 
 
 def cleaned(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -303,7 +308,8 @@ def without_repeats(docs: DataFrame, window: int = 20, texts: bool = True, carry
         raise ValueError(f"window must be at least {ANCHOR + PERIOD - 1}")
     carry = carry or []
     chunks = chunked(docs, carry)
-    again = windows_again(chunks, anchors_again(chunks, window), window)
+    buckets = bucket_count(chunks)
+    again = windows_again(chunks, anchors_again(chunks, window, buckets), window, buckets)
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
     fields += [("text", pa.string()), ("spans", pa.list_(pa.list_(pa.int32())))] * texts
     fields += [(c, pa.string()) for c in carry]
