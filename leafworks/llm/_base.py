@@ -30,10 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only where none is set (tests), one of our own."""
+    """The cluster's checkpoint folder; only where none is set in local mode (tests), one of our own. A cluster
+    without the setting is an error, as its machines share no folder of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.leafworks.scratch", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         if not root:
             root = f"file://{tempfile.mkdtemp(prefix='leafworks-')}"
             spark.conf.set("spark.leafworks.scratch", root)
