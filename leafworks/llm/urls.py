@@ -81,9 +81,9 @@ def _branches(tree: DataFrame, level: int) -> DataFrame:
     chi, free = F.col("_o") / F.col("n") - F.col("n"), F.col("freedom") - 1
     form = F.col("deeper") & (F.col("n") >= LEAST) & (chi <= free + Z * F.sqrt(2 * free) + 1e-9)
     rest = F.col("all") - F.col("labelled")
-    pooled = F.col("all_bad") / F.col("all")
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest))
-    gap = F.abs(F.col("bad") / F.col("labelled") - (F.col("all_bad") - F.col("bad")) / rest)
+    pooled = F.try_divide("all_bad", "all")
+    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), F.col("labelled")) + F.try_divide(F.lit(1), rest)))
+    gap = F.abs(F.try_divide("bad", "labelled") - F.try_divide(F.col("all_bad") - F.col("bad"), rest))
     both = (F.col("labelled") > 0) & (rest > 0)
     differs = both & (error > 0) & (gap >= Z * error)
     many = (F.col("kinds") > BRANCHES) & (F.col("seen") < REPEATS * F.col("kinds"))
@@ -116,7 +116,7 @@ def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> Dat
     """``(page_id, host, path, rule, verdict, template, score)`` of every row of ``pages(page_id, url)``.
 
     A page that a rule fits has the rule's verdict. Others are blocked if their template is rejected.
-    Labels: ``labels(url, bad)`` if given, else the pages that the rules decide. A null url, or one without
+    Labels: ``labels(url, bad)`` if given (they count as seen pages of their hosts), else the pages that the rules decide. A null url, or one without
     ``://``, has an empty host and path and a template of its own; repeated rows are judged alike, ids may
     be null; without labels everything else is allowed; an empty table gives an empty table.
     """
@@ -128,7 +128,7 @@ def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> Dat
         seen = rows.select("host", "shape", (F.col("_listed") == "block").cast("long").alias("bad"), F.col("_listed").isNotNull().cast("long").alias("labelled"), F.lit(1).alias("n"))
     else:
         h, p = host_and_path(F.col("url"))
-        given = labels.select(h.alias("host"), _segments(p).alias("shape"), F.col("bad").cast("long").alias("bad"), F.lit(1).alias("labelled"), F.lit(0).alias("n"))
+        given = labels.select(h.alias("host"), _segments(p).alias("shape"), F.col("bad").cast("long").alias("bad"), F.lit(1).alias("labelled"), F.lit(1).alias("n"))
         seen = rows.select("host", "shape", F.lit(None).cast("long").alias("bad"), F.lit(0).alias("labelled"), F.lit(1).alias("n")).unionByName(given)
     urls = settle(seen.groupBy("host", "shape").agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.sum("labelled").alias("labelled"), F.sum("n").alias("n")), "url-shapes")
     found = templates(urls)
