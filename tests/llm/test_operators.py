@@ -179,6 +179,62 @@ def test_fast_encoder_equals_the_library():
         assert np.frombuffer(x, "<u4").tolist() == slow.encode(t, add_special_tokens=False).ids
 
 
+def test_texts_that_break_the_fast_encoder(docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_vocabulary())
+    texts = [" " * 1_200_000 + "a", "\n" * 1_200_000, "x" * 200_000]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids + [2], "<u4") for t in texts]
+    rows = packing.pack(docs(list(enumerate(texts))), ids=True).collect()
+    for i, ids in enumerate(want):
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
+        assert b"".join(r.ids for r in own) == ids.tobytes() and all(r.length <= 1024 for r in own)
+
+
+def triplets(n, seed):
+    """Sizes that fill n bins of 1000 exactly, three to a bin, where best fit decreasing needs many more."""
+    rng, sizes = random.Random(seed), []
+    for _ in range(n):
+        a = rng.randint(380, 490)
+        b = rng.randint(250, (1000 - a) // 2)
+        sizes += [a, b, 1000 - a - b]
+    return sizes
+
+
+def test_genetic_packing_gains_on_best_fit():
+    gained = 0
+    for seed in range(12):
+        sizes = triplets(40, seed)
+        first = packing.best_fit(sizes, sorted(range(120), key=lambda i: -sizes[i]), 1000, [])
+        population = []
+        for epoch in range(6):
+            population = packing.evolve(sizes, 1000, population, 100 * seed + epoch)
+        assert 40 <= len(population[0]) <= len(first)
+        gained += len(first) - len(population[0])
+    assert gained >= 6
+
+
+def test_crossover_keeps_every_piece_once():
+    sizes, rng = triplets(20, 3), random.Random(5)
+    one, other = (packing.best_fit(sizes, rng.sample(range(60), 60), 1000, []) for _ in range(2))
+    for _ in range(20):
+        child = packing.cross(sizes, 1000, one, other, rng)
+        assert sorted(i for b in child for i in b) == list(range(60)) and all(sum(sizes[i] for i in b) <= 1000 for b in child)
+
+
+def test_the_elite_migrates(spark):
+    sizes = triplets(20, 9)
+    optimum = [[3 * k, 3 * k + 1, 3 * k + 2] for k in range(20)]
+    alone = [[i] for i in range(60)]
+    blob = lambda bins: packing.squeeze(packing._flat(bins, 60))
+    shards = spark.createDataFrame([(0, packing.squeeze(np.array(sizes, np.int64)))], "shard int, length binary")
+    held = spark.createDataFrame([(0, 0, blob(optimum), blob(optimum)), (0, 1, blob(alone), blob(alone))], "shard int, island int, population binary, elite binary")
+    after = {r.island: r for r in packing._epoch(shards, held, 1000, 1, 11).collect()}
+    assert len(after) == packing.ISLANDS and after[0].bins == after[1].bins == 20
+    arrived = packing._grouped(packing.unsqueeze(bytes(after[1].elite), np.int32))
+    assert sorted(map(sorted, arrived)) == optimum
+
+
 def test_genetic_packing_beats_or_equals_best_fit():
     rng = random.Random(7)
     sizes = [rng.randint(100, 500) for _ in range(150)]
@@ -215,6 +271,58 @@ def test_top_k_is_exact(spark):
     assert topk.quantised_top_k(table.limit(0)).collect() == []
 
 
+def test_top_k_stops_on_proof():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 64))
+    z = np.floor(1024 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    z[9] = z[0]
+    index, read, rescored = topk.Index(np.arange(4000), z), [], []
+    for q in range(0, 4000, 200):
+        found, scores, n = index.top(z[q], 10, q)
+        own = z @ z[q]
+        want = [i for i in np.lexsort((np.arange(4000), -own)) if i != q][:10]
+        keep = topk.best(index.ids[found], scores, 10)
+        assert found[keep].tolist() == want and scores[keep].tolist() == own[want].tolist()
+        read.append(n / z.size)
+        rescored.append(len(found) / 4000)
+    assert np.mean(read) < 0.5 and max(read) < 0.6 and np.mean(rescored) < 0.5
+    few = topk.Index(np.arange(3), z[:3])
+    assert few.top(z[0], 10, 0)[0].tolist() == [1, 2] and topk.Index(np.arange(0), z[:0]).top(z[0], 10, -1)[0].tolist() == []
+
+
+def test_vectors_with_repeated_ids(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.9, 0.1]), (7, [1.0, 0.5]), (8, [0.0, 1.0]), (8, [0.5, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = [(r.query_id, r.vec_id) for r in sorted(topk.quantised_top_k(table).collect(), key=lambda r: r["rank"])]
+    assert got == [(100, 7), (100, 100), (100, 8), (100, 8)]
+    near = [(r.query_id, r.vec_id) for r in sorted(ann.nearest(table).collect(), key=lambda r: r["rank"])]
+    assert near == [(100, 100), (100, 7), (100, 8), (100, 8)]
+
+
+@pytest.mark.parametrize("kind, most", [("even", 0.6), ("clustered", 0.05), ("two levels", 0.1)])
+def test_measured_probes(spark, monkeypatch, kind, most):
+    rng = np.random.default_rng(4)
+    d, n = (16, 3000) if kind == "even" else (64, 4000)
+    x = rng.normal(size=(n, d))
+    if kind != "even":
+        x = 0.3 * x + rng.normal(size=(80, d))[rng.integers(0, 80, n)]
+    if kind == "two levels":
+        monkeypatch.setattr(ann, "MOST_LISTS", 16)
+    seen, plain = [], ann.probe_count
+    monkeypatch.setattr(ann, "probe_count", lambda *a: seen.append((plain(*a), a[3])) or seen[-1][0])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(table).groupBy("query_id").agg(F.collect_set("vec_id").alias("v")).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for r in got:
+        scores = u @ u[r.query_id]
+        scores[r.query_id] = -9
+        hit += len(set(r.v) & set(np.argsort(-scores)[:5].tolist()))
+    (count, cells), = seen
+    assert len(got) == n // 50 and hit / (5 * len(got)) >= 0.9 and count <= most * cells.number
+    assert (cells.residuals > 1) == (kind == "two levels")
+
+
 def test_nearest_neighbours_recall(spark):
     table, x = vectors(spark, 3000)
     got = ann.nearest(table, probes=0.5).collect()
@@ -235,6 +343,43 @@ def test_nearest_neighbours_recall(spark):
 # ---- 6
 
 
+def test_ratios_and_dual_descent():
+    """Against ratios by hand, and the optimality conditions of the hinge-loss problem."""
+    rng = np.random.default_rng(2)
+    y = (rng.random(120) < 0.4).astype(int)
+    rows = [np.unique(rng.integers(0, 30, 8) + 12 * t) for t in y]
+    alpha, c = 1.0, 1.0
+    weights, bias, _, _ = quality.fit(rows, y, alpha, c, epochs=2000)
+    dim = 1 << quality.BITS
+    p, q = (alpha + np.bincount(np.concatenate([x for x, t in zip(rows, y) if t == k]), minlength=dim) for k in (1, 0))
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    used = ratio != 0
+    w = np.where(used, weights / np.where(used, ratio, 1), 0)
+    sign = np.where(y > 0, 1.0, -1.0)
+    x = np.zeros((120, dim))
+    for i, own in enumerate(rows):
+        x[i, own] = ratio[own] / math.sqrt(len(own))
+    cost = np.where(y > 0, c * 120 / (2 * y.sum()), c * 120 / (2 * (120 - y.sum())))
+    value = lambda w, b: 0.5 * (w @ w + b * b) + (cost * np.maximum(0, 1 - sign * (x @ w + b))).sum()
+    best = value(w, bias)
+    seen = np.unique(np.concatenate(rows))
+    for _ in range(500):  # the objective is convex, and no step makes it smaller by more than descent leaves
+        step = rng.normal(size=len(seen) + 1) * 10.0 ** rng.integers(-4, 0)
+        moved = w.copy()
+        moved[seen] += step[:-1]
+        assert value(moved, bias + step[-1]) >= best * (1 - 2e-3)
+    assert best < 0.5 * value(np.zeros(dim), 0.0)
+
+
+def test_clashing_labels_count_as_none(spark, docs):
+    words = ["alpha beta gamma", "BUY!! NOW!!", "delta epsilon zeta", "WIN!! BIG!!"]
+    rows = [(i, words[i % 4] + f" w{i}") for i in range(40)] + [(1, "a second text of an id")]
+    clean = [(i, 1 - i % 2) for i in range(40)]
+    one, two = (spark.createDataFrame(x, "doc_id long, quality int") for x in ([c for c in clean if c[0] != 6], [*clean, (6, 0)]))
+    by = lambda t: sorted((r.doc_id, r.score) for r in quality.classify(docs(rows), t).collect())
+    assert by(one) == by(two) == by(two.orderBy("quality"))
+
+
 def test_quality_held_out(spark, docs):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdeklmnort") for _ in range(rng.randint(2, 8)))
@@ -386,13 +531,13 @@ def test_similar_texts(docs):
             rows.append((10 * g + k, " ".join(own)))
             group[10 * g + k] = 10 * g if k < 3 else 10 * g + k
     rows += [(9000, None), (9001, ""), (9002, "a b"), (9003, "A b"), (None, "only one"), rows[0]]
-    got = simhash.similar(docs(rows), words=5, similarity=0.8).collect()
+    got = shingles.similar(docs(rows), words=5, similarity=0.8).collect()
     assert len(got) == len(rows)
     found = {r.doc_id: r.component_id for r in got}
     assert (found[9000], found[9001], found[9002], found[9003], found[None]) == (9000, 9000, 9002, 9002, None)
     assert sum(found[i] == c for i, c in group.items()) / len(group) >= 0.97
     assert all(found[i] == i for i, c in group.items() if c == i)
-    assert simhash.similar(docs([]).limit(0)).collect() == []
+    assert shingles.similar(docs([]).limit(0)).collect() == []
 
 
 def test_similar_is_exact(docs, monkeypatch):
@@ -420,7 +565,7 @@ def test_similar_is_exact(docs, monkeypatch):
         if label[a] != label[b] and 5 * len(of[a] & of[b]) >= 4 * len(of[a] | of[b]):
             lo, hi = sorted((label[a], label[b]))
             label = {i: lo if c == hi else c for i, c in label.items()}
-    got = {r.doc_id: r.component_id for r in simhash.similar(docs(rows), words=5, similarity=0.8).collect()}
+    got = {r.doc_id: r.component_id for r in shingles.similar(docs(rows), words=5, similarity=0.8).collect()}
     assert got == label and 100 < len(set(label.values())) < len(rows)
 
 
@@ -428,7 +573,7 @@ def test_one_row_of_each_component_without_ids(docs):
     rng = random.Random(22)
     a, b, c = (" ".join(f"v{rng.randint(0, 5000)}" for _ in range(100)) for _ in range(3))
     rows = [(None, a), (None, a + " x"), (None, b), (7, c), (7, b + " y"), (8, c + " z"), (8, c + " z")]
-    kept = simhash.one_of_similar(docs(rows), words=5, similarity=0.8).collect()
+    kept = shingles.one_of_similar(docs(rows), words=5, similarity=0.8).collect()
     assert sorted((r.doc_id or 0, r.text[:20]) for r in kept) == sorted([(0, a[:20]), (7, c[:20]), (7, b[:20])])
 
 
@@ -491,3 +636,84 @@ def test_url_rules_and_templates(spark):
     judged = {r.page_id: r.verdict for r in urls.judge(pages, labels=bad).collect() if r.rule is None}
     assert all(judged[i] == "block" for i, u in enumerate(given) if u and "/fr/" in u) and all(judged[i] == "allow" for i, u in enumerate(given) if u and "/t/" in u)
     assert urls.judge(pages.limit(0)).collect() == []
+
+
+def tree_by_hand(pages):
+    """(template, score) of each (host, path, bad or None), by the definition."""
+    def segments(path):
+        out = []
+        for s in path.split("/"):
+            if s and any(c in "0123456789" for c in s):
+                m = re.search(r"(\.[a-z]{1,5})$", s)
+                out.append("*" + (m[1] if m else ""))
+            elif s:
+                out.append(s)
+        return out[: urls.DEPTH - 1] + ["/".join(out[urls.DEPTH - 1 :])] if len(out) > urls.DEPTH else out
+
+    shapes = [(h, segments(p), b) for h, p, b in pages]
+    named = [[] for _ in shapes]
+    for level in range(urls.DEPTH):
+        parents = {}
+        for i, (h, s, b) in enumerate(shapes):
+            if len(s) > level and not s[level].startswith("*"):
+                parents.setdefault((h, tuple(named[i])), []).append(i)
+        names = {}
+        for parent, own in parents.items():
+            branch, below = {}, Counter(shapes[i][1][level + 1] if len(shapes[i][1]) > level + 1 else "/" for i in own)
+            for i in own:
+                branch.setdefault(shapes[i][1][level], []).append(i)
+            labels = [shapes[i][2] for i in own if shapes[i][2] is not None]
+            for s, mine in branch.items():
+                kids = Counter(shapes[i][1][level + 1] if len(shapes[i][1]) > level + 1 else "/" for i in mine)
+                chi = sum((kids[c] - len(mine) * n / len(own)) ** 2 / (len(mine) * n / len(own)) for c, n in below.items())
+                free, deeper = len(below) - 1, any(c != "/" for c in kids)
+                form = deeper and len(mine) >= urls.LEAST and chi <= free + urls.Z * math.sqrt(2 * free) + 1e-9
+                seen = [shapes[i][2] for i in mine if shapes[i][2] is not None]
+                rest, both, differs = len(labels) - len(seen), False, False
+                if seen and rest:
+                    both, pooled = True, sum(labels) / len(labels)
+                    error = math.sqrt(pooled * (1 - pooled) * (1 / len(seen) + 1 / rest))
+                    differs = error > 0 and abs(sum(seen) / len(seen) - (sum(labels) - sum(seen)) / rest) >= urls.Z * error
+                many = len(branch) > urls.BRANCHES and len(own) < urls.REPEATS * len(branch)
+                alike = len(branch) > 1 and not differs and (form or (both and not deeper))
+                names[parent, s] = "*" if many else "+" if alike else s
+        for i, (h, s, b) in enumerate(shapes):
+            if len(s) > level:
+                named[i] = named[i] + [names.get(((h, tuple(named[i])), s[level]), s[level])]
+    groups = {}
+    for i, (h, s, b) in enumerate(shapes):
+        groups.setdefault((h, tuple(named[i])), []).append(b)
+    score = {}
+    for key, own in groups.items():
+        known = [b for b in own if b is not None]
+        a = 1 + urls.UNSEEN * (len(own) - len(known))
+        score[key] = (sum(known) + a) / (len(known) + 2 * a) if known else 0.5
+    return [("/" + "/".join(named[i]), score[h, tuple(named[i])]) for i, (h, s, b) in enumerate(shapes)]
+
+
+def test_url_tree_against_brute_force(spark):
+    rng = random.Random(6)
+    given = []
+    for host in ("a.example.com", "b.example.com", "c.example.net", "d.example.org", "e.example.info"):
+        for _ in range(160):
+            kind = rng.random()
+            if kind < 0.6:
+                path = f"/{rng.choice(['en', 'en', 'en', 'de', 'fr', 'es'])}/{rng.randint(1, 9999)}{rng.choice(['', '', '', '.html', '/'])}"
+            elif kind < 0.8:
+                path = f"/tag/{''.join(rng.choice('abcdefgh') for _ in range(3))}"
+            elif kind < 0.9:
+                path = f"/shop/{rng.choice(['red', 'blue'])}/{rng.choice(['cart', 'list'])}/x/y/z/{rng.choice(['p', 'q'])}/{rng.randint(1, 5)}"
+            else:
+                path = rng.choice(["/", "", "/about", "/help", "/en/"])
+            given.append(f"https://{host}{path}")
+    pages = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(pages).collect()}
+    parts = [rule_by_hand(u) for u in given]
+    want = tree_by_hand([(h, p, None if v is None else int(v == "block")) for h, p, _, v in parts])
+    verdicts = Counter()
+    for i, ((h, p, rule, verdict), (template, score)) in enumerate(zip(parts, want)):
+        r = got[i]
+        assert r.template == template and r.score == pytest.approx(score)
+        assert r.verdict == (verdict or ("block" if score >= urls.REJECT else "allow"))
+        verdicts[rule is None, r.verdict] += 1
+    assert all(verdicts[k] > 20 for k in itertools.product((True, False), ("allow", "block")))

@@ -5,7 +5,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from leafworks.llm import mixing, quality, simhash, substring
+from leafworks.llm import mixing, quality, shingles, substring
 from leafworks.llm._base import settle, table
 
 DATA = "/root/testdata/sf0.001"
@@ -24,7 +24,7 @@ def test_stages(spark):
             kept = {r.doc_id for r in quality.classify(before, table(spark, DATA, "labels")).filter("predicted = 1").collect()}
             assert {r.doc_id for r in docs.collect()} == kept
         elif name == "SimHash near-dedup":
-            found = simhash.similar(before, words=5, similarity=0.8).collect()
+            found = shingles.similar(before, words=5, similarity=0.8).collect()
             assert sorted(r.doc_id for r in docs.collect()) == sorted({r.component_id for r in found})
         elif name == "substring dedup":
             assert docs.count() == before.count()
