@@ -10,8 +10,11 @@ that a pair is left of. The order only moves work: shingles
 that are common in a sample of texts come last. Buckets of shingles that the sample has often are split into
 parts, and every pair of parts is a task of its own.
 
-Some neighbours of each set in its buckets are verified first; then all pairs of a bucket that are not connected yet. A pair
-that is connected by then needs no link of its own, so the components are those of all links.
+First verified are the links that the trie self-join of SimHash fingerprints finds (of the distinct shingles, so that
+a repeated line has no more weight than any other), which hold most near copies together, and some neighbours of
+each set in its buckets; then all pairs of a bucket that are not connected yet. A pair that is connected by
+then needs no link of its own, so the components are those of all links. No fingerprint decides anything: it
+proposes, and the whole sets of shingles are compared.
 """
 
 from __future__ import annotations
@@ -27,13 +30,14 @@ from pyspark.sql import functions as F
 
 from leafworks.llm._base import drop, recorded, settle, slices, squeeze, text_bytes, unsqueeze, width
 from leafworks.llm.components import connected
+from leafworks.llm.simhash import links, majority, named_by, one_of_each, shingle_hashes
 
 #: One text in this many is looked at for common shingles, and so many of those are told apart.
 SAMPLED, COMMON = 64, 1 << 16
 #: Members of a bucket, as the sample has it, beyond which it is split.
 HOT = 4096
-#: Neighbours of a set that are verified before all pairs.
-NEIGHBOURS = 3
+#: Neighbours of a set that are verified before all pairs, and bits by which fingerprints may differ that are.
+NEIGHBOURS, BUDGET = 3, 4
 #: Bits of the filter of the sets to make again; with more sets it lets more of the others pass, none less.
 FILTER_BITS = 1 << 24
 #: Pairs that a task holds at once.
@@ -41,8 +45,6 @@ AT_ONCE = 1 << 20
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
-    from leafworks.llm.simhash import shingle_hashes
-
     return np.unique(shingle_hashes(text, words))
 
 
@@ -75,13 +77,13 @@ def sketch(own: np.ndarray) -> bytes:
 
 
 def sets(docs: DataFrame, words: int, t: Fraction, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``(doc_id, fp, size, sketch, prefix)`` of every row: the hash that names its set, and the prefix in the
-    common order."""
+    """``(doc_id, fp, mark, size, sketch, prefix)`` of every row: the hash that names its set, its SimHash, and the
+    prefix in the common order."""
     known, counts = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            fps, sizes, sketches, prefixes = [], [], [], []
+            fps, marks, sizes, sketches, prefixes = [], [], [], [], []
             for text in text_bytes(batch.column("text")):
                 own = shingle_set(text, words)
                 weight = np.zeros(len(own), np.int64)
@@ -90,14 +92,16 @@ def sets(docs: DataFrame, words: int, t: Fraction, common: tuple[np.ndarray, np.
                     weight = np.where(known[at] == own, counts[at], 0)
                 p = len(own) - int(least_common(len(own), t)) + 1 if len(own) else 0
                 fps.append(xxhash.xxh64_intdigest(own.tobytes()))
+                marks.append(majority(own[:, None])[0])
                 sizes.append(len(own))
                 sketches.append(sketch(own))
                 prefixes.append(own[np.lexsort((own, weight))[:p]].tobytes())
-            arrays = [batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp", "size", "sketch", "prefix"])
+            names = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, marks)]
+            arrays = [batch.column("doc_id"), *names, pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp", "mark", "size", "sketch", "prefix"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, fp bigint, size int, sketch binary, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, fp bigint, mark bigint, size int, sketch binary, prefix binary")
 
 
 def whole_sets(docs: DataFrame, words: int, fps: DataFrame) -> DataFrame:
@@ -202,6 +206,18 @@ def _pairs(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(lo[new]), pa.array(hi[new])], names=["a", "b"])
 
 
+def marked(prints: DataFrame, budget: int) -> DataFrame:
+    """``(a, b)``: sets whose fingerprints the trie self-join links, each with the first set of its own fingerprint or
+    that of the fingerprint it is linked with."""
+    sets_ = prints.select("fp", "mark").distinct()
+    first = settle(sets_.groupBy("mark").agg(F.min("fp").alias("first")), "shingle-marks")
+    same = sets_.join(first, "mark").filter("fp != first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    found = links(first.select(F.col("mark").alias("fp")), budget)
+    one = found.join(first.select(F.col("mark").alias("a"), F.col("first").alias("p")), "a")
+    two = one.join(first.select(F.col("mark").alias("b"), F.col("first").alias("q")), "b")
+    return same.unionByName(two.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
+
+
 def neighbours(live: DataFrame, t: Fraction) -> DataFrame:
     """``(a, b)``: pairs next to each other by size in a cell."""
 
@@ -299,8 +315,25 @@ def similar_sets(docs: DataFrame, words: int, similarity: float) -> tuple[DataFr
     sketches = settle(prints.select("fp", "size", "sketch").join(live.select(F.col("node").alias("fp")).distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "shingle-sketches")
     by_chance = Window.partitionBy("b").orderBy(F.xxhash64("a", "b"), "a")
     few = sketched(neighbours(live, t), sketches, t).withColumn("k", F.row_number().over(by_chance)).filter(F.col("k") <= NEIGHBOURS).drop("k")
+    few = few.unionByName(sketched(marked(prints, BUDGET), sketches, t)).distinct()
     near = verified(settle(few, "shingle-few"), docs, words, t)
     roots = connected(near)
     rooted = live.join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rest = verified(sketched(unconnected(rooted, t), sketches, t), docs, words, t)
     return prints.select("doc_id", "fp"), connected(near.unionByName(rest))
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """As ``simhash.near_duplicates``, but rows are linked if the Jaccard similarity of their distinct word shingles is
+    ``similarity`` or more, exactly; fp names the set of shingles."""
+    prints, roots = similar_sets(docs, words, similarity)
+    return named_by(prints, prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")), roots)
+
+
+def one_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row left of each component of ``similar``: the one with the smallest id, nulls last. Rows
+    are told apart by id and text, so rows without an id, or with one id and different texts, count each for itself."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    own = docs.withColumn("doc_id", key)
+    kept = one_of_each(own, similar(own, words, similarity))
+    return kept.withColumn("doc_id", F.col("doc_id.id")).select(*docs.columns)

@@ -10,7 +10,8 @@ A bucket with more than ``HOT`` members is split into parts, and every pair of p
 own, so nothing is lost or gathered in one place. Tasks don't give out links but, for each fingerprint,
 the smallest one that it is connected with inside the task; ``connected`` joins those up.
 
-Few differing bits of 64 mean nearly equal texts. For a similarity of word shingles (``similar``) see ``shingles``.
+Few differing bits of 64 mean nearly equal texts. For all links at a similarity of word shingles see ``shingles``,
+which takes these links first.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 
 from leafworks.llm._base import CHUNK_BYTES, settle, slices, text_bytes, width
 from leafworks.llm.components import connected
-from leafworks.llm.shingles import similar_sets
 
 #: Members of a bucket beyond which it is split.
 HOT = 8192
@@ -227,13 +227,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, budget: int = 4) -> DataFra
     return components_of(prints, budget)
 
 
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """As ``near_duplicates``, but rows are linked if the Jaccard similarity of their distinct word shingles is
-    ``similarity`` or more, exactly; fp names the set of shingles."""
-    prints, roots = similar_sets(docs, words, similarity)
-    return named_by(prints, prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")), roots)
-
-
 def components_of(prints: DataFrame, budget: int) -> DataFrame:
     distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")), "simhash-distinct")
     return named_by(prints, distinct, connected(links(distinct.select("fp"), budget)))
@@ -261,12 +254,3 @@ def one_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
     if again.isEmpty():
         return joined.drop("_rows")
     return joined.filter("_rows = 1").drop("_rows").unionByName(joined.filter("_rows > 1").drop("_rows").dropDuplicates(["doc_id"]))
-
-
-def one_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row left of each component of ``similar``: the one with the smallest id, nulls last. Rows
-    are told apart by id and text, so rows without an id, or with one id and different texts, count each for itself."""
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
-    own = docs.withColumn("doc_id", key)
-    kept = one_of_each(own, similar(own, words, similarity))
-    return kept.withColumn("doc_id", F.col("doc_id.id")).select(*docs.columns)
