@@ -7,7 +7,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafworks.llm import mixing, packing, quality, simhash, substring
+from leafworks.llm import mixing, packing, quality, shingles, substring
 from leafworks.llm._base import drop, recorded, settle, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -43,8 +43,9 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage(1)
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
-    return simhash.one_of_similar(docs.select(*COLUMNS), words=5, similarity=0.8)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the links of the SimHash
+    trie first, each verified on whole sets, then what fingerprints miss."""
+    return shingles.one_of_similar(docs.select(*COLUMNS), words=5, similarity=0.8)
 
 
 @_stage(2)
