@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafworks.functions import text as X
+from leafworks.functions.once import once
 
 TRUSTED, SUSPECT, WHOLE_PAGE, LEAST = 0.85, 0.60, 0.60, 24
 PROSE, FLOOR_CHARS, FLOOR_SCORE = 0.75, 20, 0.70
@@ -26,9 +27,9 @@ def compare(pages: DataFrame, layer: str, reference: str, ranges=None, least: in
     """
     ranges = tuple(ranges) if ranges else None
     part = lambda c: X.skeleton(F.col(c), ranges) if ranges else X.skeleton(F.col(c))
-    out = pages.withColumns({"_l": part(layer), "_r": part(reference)})
+    out = once(pages, _l=part(layer), _r=part(reference))
     one, two = X.containment(F.col("_l"), F.col("_r"), 1), X.containment(F.col("_l"), F.col("_r"), 2)
-    out = out.withColumns({"layer_chars": F.char_length("_l"), "agreement": one, "bigram_agreement": two})
+    out = once(out, layer_chars=F.char_length("_l"), agreement=one).withColumn("bigram_agreement", two)
     dull = (F.col("layer_chars") < least) | (X.strip(F.coalesce(F.col(reference), F.lit(""))) == "")
     return out.withColumn("agreement_verdict", F.when(dull, "n/a").otherwise(verdict(F.col("agreement")))).drop("_l", "_r")
 
@@ -61,7 +62,9 @@ def arbitrate(blocks: DataFrame, by: list[str]) -> DataFrame:
     by characters, and a floor for each large block; null verdict where no primary block has characters."""
     primary = (F.col("role") == "primary") & (F.col("chars") > 0)
     weight = F.sum(F.when(primary, F.col("chars")))
-    mean = F.round(F.sum(F.when(primary, F.col("chars") * F.col("score"))) / weight, 4)
+    # decimals, since sums of doubles depend on their order
+    exact = F.sum(F.when(primary, F.col("chars").cast("decimal(12,0)") * F.col("score").cast("decimal(12,9)")))
+    mean = F.round(exact / weight.cast("decimal(22,0)"), 4).cast("double")
     floor = F.coalesce(F.bool_or((F.col("role") == "primary") & (F.col("chars") >= FLOOR_CHARS) & (F.col("score") < FLOOR_SCORE)), F.lit(False))
     zero = F.coalesce(F.sum(F.when((F.col("role") == "secondary") & (F.col("score") < 0.3), F.col("chars"))), F.lit(0))
     return blocks.groupBy(*by).agg(

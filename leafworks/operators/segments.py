@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafworks.functions import numbers as N
 from leafworks.functions import text as X
+from leafworks.functions.once import once
 
 RUN = 4
 
@@ -19,7 +20,7 @@ def page_offsets(pages: DataFrame, text: str = "text") -> DataFrame:
     votes = F.filter(
         F.transform(N.candidates(X.solid_lines(F.col("_t"))), lambda n: F.when(n.between(1, F.col("total") + 5), F.col("page") - n)), lambda o: o.isNotNull() & (o >= 0) & (o <= F.col("page") - 1)
     )
-    rows = rows.withColumn("_v", votes)
+    rows = once(rows, _v=votes)
     # the first of the distinct votes with the most voters
     counted = F.transform(F.array_distinct("_v"), lambda o: F.struct(F.size(F.filter("_v", lambda x: x == o)).alias("n"), (-F.array_position("_v", o)).alias("first"), o.alias("o")))
     return rows.select("doc", "page", "total", F.array_max(counted)["o"].cast("int").alias("offset"))
