@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafworks.functions import chars as C
 from leafworks.functions import geometry as G
 from leafworks.functions import numbers as N
 from leafworks.functions import text as X
@@ -36,8 +35,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---- quality of pages
 
-HAN, SPACES = C.one_of(*C.HAN), r"[ \t\x{A0}\x{3000}]"
-WS = f"[{C.inside(C.SPACE)}]"
+# the oracles' own patterns, in RE2: none is taken from the engine
+HAN, KANA = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]", r"\x{3040}-\x{30FF}"
+LETTER = HAN.replace("]", KANA + "]")
+SPACES = r"[ \t\x{A0}\x{3000}]"
+WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+ILLEGAL = r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}\x{E000}-\x{F8FF}\x{FDD0}-\x{FDEF}\x{FFFE}\x{FFFF}]"
+READABLE = WS.replace("]", r"!-~\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{3000}-\x{303F}\x{FF01}-\x{FF1F}＂＃％＆＇＊＋－／＜＝＞＠［］｛｝]")
+MASK = r"\$\$.*?(?:\$\$|$)|\$[^$\n]+\$|\\\([^\n]*?\\\)|\\\[[^\n]*?\\\]"
+MATHS = "[=^_∑∫∮√±∓×÷≤≥≠≈≡∂∇∞∈∉⊂⊃⊆⊇∪∩∀∃∴←↑→↓⇒⇔Α-Ωα-ω]"
+AMBIGUOUS = r"""('exp_chain', '[0-9A-Za-z)\]]\^\s?[^\s{}$]+\^\s?[^\s{}$]+'),
+  ('subsup_stack', '[0-9A-Za-z)]_[^\s{}$]*\^[^\s{}$]+|[0-9A-Za-z)]\^[^\s{}$]+_[^\s{}$]'),
+  ('slash_frac_mul', '(?:\d+|[A-Za-z])\s*/\s*(?:\d+|[A-Za-z])\s*[·×⋅]?\s*(?:\d|[A-Za-z])(?:[^A-Za-z]|$)'),
+  ('fn_adjacent', '(?i)(?:^|[^\pL\pN_])(?:sin|cos|tan|cot|sec|csc|log|ln|exp|lim)\s+[0-9A-Za-z(]'),
+  ('sqrt_adjacent', '√\s*[^\s+]')"""
+CORRUPT = r"""('wide_punct_in_math', '[\x{3000}-\x{303F}\x{FF00}-\x{FF60}]'),
+  ('cjk_in_math', '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{F900}-\x{FAFF}]'),
+  ('latex_cmd_leak', '\\[A-Za-z]{2,}'), ('stuck_subscript', '[\w)]_\[?\{?\w'), ('slash_chain', '[^/]{2}/\d+/\d+|[^/]\d+/\d+/\d+'),
+  ('double_operator', '[×÷=+\-−±]\s*[×÷=+\-−±]'), ('operator_only', '^[\s×÷=+\-−±]+$')"""
+RISKY = r"[\^_/]|\\(?:frac|sqrt|int|sum|prod|begin|end|matrix|pmatrix|det)|[−-]|[1lIO0]"
+CONTENTS = r"(?i)^(?:目\s*[次录錄]|contents\b|table\s+of\s+contents)"
+LOOSE = r"(?:[0-9]{1,4}|[ivxlcdmIVXLCDM]{2,8})\s*$"
 count = lambda t, cls: f"(length({t}) - length(regexp_replace({t}, '{cls}', '', 'g')))"
 strip = lambda t: f"regexp_replace({t}, '^{WS}+|{WS}+$', '', 'g')"
 solid = lambda t: f"list_filter(list_transform(string_split({t}, '{O.NL}'), lambda s: {strip('s')}), lambda s: s <> '')"
@@ -49,9 +67,9 @@ unspaced = lambda t: once(f"regexp_replace({twice(t)}, '({HAN}){SPACES}+({HAN})'
 SCORED = f"""
 s0 as (select *, {strip('text')} as bare, {solid('text')} as sl from pages_),
 s1 as (select *, bare <> '' and length(bare) < 15 and regexp_matches(bare, '^[0-9\\s\\-—–.，。、:：/\\\\()（）]+$') as stub,
-   {count('text', chr(92) + 'x{FFFD}')} as fffd, {count('text', C.one_of(*C.ILLEGAL))} as illegal, {count('text', HAN)} as han_count,
+   {count('text', chr(92) + 'x{FFFD}')} as fffd, {count('text', ILLEGAL)} as illegal, {count('text', HAN)} as han_count,
    len(regexp_extract_all({twice('text')}, '{HAN}{SPACES}+{HAN}')) as spaced,
-   len(list_filter(sl, lambda x: length(x) >= 2 and {count('x', C.one_of(*C.READABLE))} / length(x) < 0.4)) as bad from s0),
+   len(list_filter(sl, lambda x: length(x) >= 2 and {count('x', READABLE)} / length(x) < 0.4)) as bad from s0),
 s2 as (select *, case when stub then 0 else length(bare) end as chars,
    case when stub or bare = '' then 0.0 else least(1.0, 0.40::double * (fffd / length(text)) + 0.35::double * (illegal / length(text)) + 0.25::double * (case when len(sl) = 0 then 0 else bad / len(sl) end)) end as garble,
    case when stub or bare = '' or han_count < 10 then 0.0::double else spaced / han_count end as cjk from s1),
@@ -75,7 +93,11 @@ def cleaned_text(spark, sf_dir):
     return O.pages(spark, sf_dir).select("doc", "page", F.md5(out).alias("cleaned"), F.char_length(out).alias("n"))
 
 
-@query()
+@query(
+    f"""select doc, page, md5(string_agg(case when i = 1 then l when regexp_matches(before, '{LETTER.replace("]", "，、：]")}$') and regexp_matches(l, '^{LETTER}') then l else concat('{O.NL}', l) end, '' order by i)) as cleaned
+    from (select *, lag(l) over (partition by doc, page order by i) as before from j1) group by all""",
+    (O.PAGE_TEXT, f"j0 as (select doc, page, string_split({unspaced('text')}, '{O.NL}') as ls from pages_)", "j1 as (select doc, page, unnest(ls) as l, unnest(range(1, len(ls) + 1)) as i from j0)"),
+)
 def joined_lines(spark, sf_dir):
     return O.pages(spark, sf_dir).select("doc", "page", F.md5(X.clean(F.col("text"))).alias("cleaned"))
 
@@ -152,6 +174,20 @@ def agreement_histogram(spark, sf_dir):
     return agreement.histogram(_agreed(spark, sf_dir), "doc")
 
 
+LATIN, AS_HAN = "abcdefghijklmnopqrstuvwxyz", "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥天地玄黄"
+in_han = lambda c: f"list_distinct(list_filter(string_split(regexp_replace(translate({c}, '{LATIN}', '{AS_HAN}'), '[^{KANA}\\x{{3400}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}]', '', 'g'), ''), lambda x: x <> ''))"
+
+
+@query(
+    f"""select doc, page, case when len(l) = 0 then 1.0 else round(len(list_intersect(l, r2)) / len(l), 4) end as agreement from (select doc, page, {in_han('text')} as l, {in_han('ref_text')} as r2 from pages_)""",
+    (O.PAGE_TEXT,),
+)
+def agreement_han(spark, sf_dir):
+    """Agreement of the skeletons that prose in Han characters leaves."""
+    rows = O.pages(spark, sf_dir).withColumns({c: F.translate(c, LATIN, AS_HAN) for c in ("text", "ref_text")})
+    return agreement.compare(rows, "text", "ref_text").select("doc", "page", "agreement")
+
+
 FINAL = """final_ as (select *, case when agreement_verdict <> 'ambiguous' then agreement_verdict
    when page % 2 = 0 then 'trusted' else 'suspect' end as verdict from agreed_)"""
 
@@ -204,7 +240,7 @@ BLOCKS = """blocks_ as (select l_orderkey as doc, l_linenumber as page, case whe
 
 @query(
     """select doc, arbiter_score, below_floor, secondary_zero_chars, case when arbiter_score is null then null when arbiter_score < 0.75 or below_floor then 'suspect' else 'trusted' end as verdict from (
-       select doc, round(sum(chars * score) filter (role = 'primary' and chars > 0) / sum(chars) filter (role = 'primary' and chars > 0), 4) as arbiter_score,
+       select doc, ((2 * cast(sum(chars * cast(round(score * 10) as bigint)) filter (role = 'primary' and chars > 0) as hugeint) * 1000 + sum(chars) filter (role = 'primary' and chars > 0)) // (2 * sum(chars) filter (role = 'primary' and chars > 0)))::double / 10000 as arbiter_score,
          coalesce(bool_or(role = 'primary' and chars >= 20 and score < 0.70), false) as below_floor, coalesce(sum(chars) filter (role = 'secondary' and score < 0.3), 0)::bigint as secondary_zero_chars from blocks_ group by doc)""",
     (BLOCKS,),
 )
@@ -319,12 +355,10 @@ def line_pages(spark, sf_dir):
     return markdown.line_pages(books).groupBy("path", "page").agg(F.count("*").alias("lines"))
 
 
-MASK = X.LATEX.replace(r"\z", "$")
-esc = lambda p: p.replace(r"\z", "$").replace(r"\b(?:lim", r"(?:^|[^\pL\pN_])(?:lim").replace("'", "''")
 LINES = f"lines_ as (select doc, page, unnest(string_split(text, '{O.NL}')) as l, unnest(range(len(string_split(text, '{O.NL}')))) as line_no from pages_)"
-HITS = f"""m0 as (select *, {strip('l')} as bare, regexp_replace(l, '{esc(MASK)}', ' ', 'g') as masked from lines_),
+HITS = f"""m0 as (select *, {strip('l')} as bare, regexp_replace(l, '{MASK}', ' ', 'g') as masked from lines_),
 hits_ as (select doc, page, line_no, name from (select * from m0 where bare <> '' and not regexp_matches(bare, '^(?:<!--|#)') and not (masked = l and contains(l, '$')))
-  cross join (values {", ".join(f"('{k}', '{esc(p)}')" for k, p in formula.AMBIGUOUS.items())}) as v(name, pattern) where regexp_matches(masked, pattern))"""
+  cross join (values {AMBIGUOUS}) as v(name, pattern) where regexp_matches(masked, pattern))"""
 
 
 @query("select doc, name as pattern, count(*) as hits from hits_ group by all", (O.PAGE_TEXT, LINES, HITS))
@@ -341,20 +375,18 @@ def ambiguity_lines(spark, sf_dir):
 def _regions(spark, sf_dir):
     tiers = quality.score_pages(O.pages(spark, sf_dir)).select("doc", "page", "tier")
     rows = O.lines(spark, sf_dir).filter(regions.math_evidence(F.col("text")))
-    rows = rows.withColumn("text", F.when(F.col("line_no") % 5 == 0, F.lit("")).otherwise(F.substring(X.strip(F.col("text")), 1, 60)))
+    rows = rows.withColumn("text", F.when(F.col("line_no") % 5 == 0, F.lit("")).otherwise(F.substring(X.strip(F.col("text")), 1, 120)))
     return rows.join(tiers, ["doc", "page"]).select("doc", "page", F.col("line_no").cast("long").alias("ord"), "bbox", "text", F.lit("span").alias("source"), "tier")
 
 
-CORRUPT_SQL = ", ".join(f"('{k}', '{esc(p)}')" for k, p in formula.CORRUPT.items())
-MATHS = C.one_of(*C.MATH)
 REGIONS = f"""
-r0 as (select l.doc, l.page, l.line_no as ord, case when l.line_no % 5 = 0 then '' else substr({strip('l.l')}, 1, 60) end as text, s.tier from lines_ l join scored_ s using (doc, page)
+r0 as (select l.doc, l.page, l.line_no as ord, case when l.line_no % 5 = 0 then '' else substr({strip('l.l')}, 1, 120) end as text, s.tier from lines_ l join scored_ s using (doc, page)
   where regexp_matches(l.l, '{MATHS}') or regexp_matches(l.l, '\\\\[A-Za-z]+')),
 r1 as (select *, {strip('text')} as t from r0),
 seg_ as (select doc, page, ord, unnest(list_filter(list_transform(string_split(t, ' / '), lambda s: {strip('s')}), lambda s: s <> '')) as s from r1),
-seg2 as (select *, regexp_replace(s, '{esc(MASK)}', ' ', 'g') as masked from seg_),
-sig_ as (select doc, page, ord, 'L1:' || name as sig from seg2 cross join (values {", ".join(f"('{k}', '{esc(p)}')" for k, p in formula.AMBIGUOUS.items())}) v(name, pattern) where regexp_matches(masked, pattern) and not (masked = s and contains(s, '$'))
-  union select doc, page, ord, 'L3:' || name from seg2 cross join (values {CORRUPT_SQL}) v(name, pattern) where regexp_matches(s, pattern) and not (name = 'stuck_subscript' and contains(s, '_{{'))),
+seg2 as (select *, regexp_replace(s, '{MASK}', ' ', 'g') as masked from seg_),
+sig_ as (select doc, page, ord, 'L1:' || name as sig from seg2 cross join (values {AMBIGUOUS}) v(name, pattern) where regexp_matches(masked, pattern) and not (masked = s and contains(s, '$'))
+  union select doc, page, ord, 'L3:' || name from seg2 cross join (values {CORRUPT}) v(name, pattern) where regexp_matches(s, pattern) and not (name = 'stuck_subscript' and contains(s, '_{{'))),
 r2 as (select doc, page, ord, t, tier, count(sig) as n, coalesce(string_agg(sig, ',' order by sig), '') as sigs from r1 left join sig_ using (doc, page, ord) group by doc, page, ord, t, tier),
 judged_ as (select *, case when tier in ('empty', 'untrusted') and t = '' then 'empty' when n > 0 then 'suspect' when t = '' then 'empty' else 'pending_l3' end as verdict,
   case when tier in ('empty', 'untrusted') and t = '' then '' else sigs end as signals from r2),
@@ -393,7 +425,7 @@ def _fingerprinted(spark, sf_dir):
 
 @query(
     f"""select doc, page, ord, fp as fingerprint, risk, case when risk = 'low' then 'accept' when row_number() over (partition by doc, risk order by fp, page, ord) <= 3 then 'sample' else 'hold' end as action from (
-       select *, case when length(t) > 40 or regexp_matches(t, '{esc(formula.RISKY)}') then 'high' else 'low' end as risk from fp_ where verdict = 'pending_l3')""",
+       select *, case when length(t) > 40 or regexp_matches(t, '{RISKY}') then 'high' else 'low' end as risk from fp_ where verdict = 'pending_l3')""",
     (O.PAGE_TEXT, SCORED, LINES, REGIONS, FP),
 )
 def decision_plan(spark, sf_dir):
@@ -444,17 +476,50 @@ def uncovered_lines(spark, sf_dir):
     return regions.uncovered(rows, rects).groupBy("doc", "page").agg(F.count("*").alias("n"))
 
 
-@query()
+near = lambda last: f"least({last}.x1, c.x1) - greatest({last}.x0, c.x0) >= 0.3 * least({last}.x1 - {last}.x0, c.x1 - c.x0) and c.y0 - {last}.y1 <= 1.5 * greatest({last}.y1 - {last}.y0, c.y1 - c.y0)"
+CLUSTERS = lambda keep, source="lines_": f"""w0_ as (select doc, page, line_no, l as text, (72 + 12 * (line_no % 3))::double as x0, (72 + 14 * line_no)::double as y0, (72 + 12 * (line_no % 3) + 6 * length(l))::double as x1, (84 + 14 * line_no)::double as y1,
+    regexp_replace(l, '[^\\x{{3040}}-\\x{{30FF}}\\x{{3400}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}]', '', 'g') as skeleton from {source}),
+  w1_ as (select *, row_number() over (partition by doc, page order by y0, x0, y1, x1, text) as i from w0_ where {keep}),
+  rec_ as (select doc, page, i, [{{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}] as last, 0::bigint as g from w1_ where i = 1 union all
+    select doc, page, i, case when g = len(last) then list_append(last, box) else list_concat(list_append(last[1:g], box), last[g + 2:]) end, g from (
+      select c.doc, c.page, c.i, r.last, {{'x0': c.x0, 'y0': c.y0, 'x1': c.x1, 'y1': c.y1}} as box,
+        coalesce(list_sort(list_filter(list_transform(range(1, len(r.last) + 1), lambda k: case when {near("r.last[k]")} then {{'gap': abs(c.y0 - r.last[k].y1), 'k': k}} end), lambda x: x is not null))[1].k - 1, len(r.last)) as g
+      from rec_ r join w1_ c on c.doc = r.doc and c.page = r.page and c.i = r.i + 1))"""
+PROSE = f"length(skeleton) >= 4 and length(skeleton) / greatest(length({strip('text')}), 1) >= 0.5"
+
+
+@query(
+    f"""select doc, page, cast(g as int) as ord, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, substr(string_agg({strip('text')}, ' / ' order by i), 1, 120) as text,
+      case when bool_or(regexp_matches(text, '{MATHS}') or regexp_matches(text, '\\\\[a-zA-Z]+')) then 'formula' else 'suspect_nonprose' end as class
+    from rec_ join w1_ using (doc, page, i) group by all""",
+    (O.PAGE_TEXT, LINES, CLUSTERS(f"{strip('text')} <> '' and (y0 + y1) / 2 between 842 * 0.06::double and 842 * 0.94::double and not ({PROSE})")),
+)
 def span_regions(spark, sf_dir):
-    return regions.span_regions(O.lines(spark, sf_dir))
+    """Where a document's overlay has several lines side by side, and prose between them."""
+    found = regions.span_regions(O.lines(spark, sf_dir))
+    return found.select("doc", "page", "ord", "bbox.*", "text", "class")
+
+
+@query(
+    """select doc, page, cast(g as int) as ord, min(x0) - 2 as x0, min(y0) - 4 as y0, max(x1) + 2 as x1, max(y1) + 2 as y1, sum(length(skeleton))::bigint as chars from rec_ join w1_ using (doc, page, i) group by all""",
+    (O.PAGE_TEXT, LINES, f"han_ as (select doc, page, line_no, case when line_no % 3 = 2 then l else translate(l, '{LATIN}', '{AS_HAN}') end as l from lines_)", CLUSTERS(PROSE, "han_")),
+)
+def prose_paragraphs(spark, sf_dir):
+    """Two lines of three in Han characters are prose; the others divide it."""
+    text = F.when(F.col("line_no") % 3 == 2, F.col("text")).otherwise(F.translate("text", LATIN, AS_HAN))
+    return regions.paragraphs(O.lines(spark, sf_dir).withColumn("text", text)).select("doc", "page", "ord", "bbox.*", "chars")
+
+
+for _name in ("span_regions", "prose_paragraphs"):
+    ORACLE_SQL[_name] = "with recursive " + ORACLE_SQL[_name].removeprefix("with ")
 
 
 # ---- contents and outlines
 
 SHAPES = f"""
 sh0 as (select doc, page, {solid('text')} as sl from pages_),
-shapes_ as (select doc, page, len(sl) as lines, len(sl) > 0 and regexp_matches(coalesce(sl[1], ''), '{esc(outline.HEADER)}') as header,
-  len(list_filter(sl, lambda s: regexp_matches(s, '{esc(N.LOOSE)}'))) as trails, len(list_filter(sl, lambda s: length(s) <= 45)) as shorts from sh0),
+shapes_ as (select doc, page, len(sl) as lines, len(sl) > 0 and regexp_matches(coalesce(sl[1], ''), '{CONTENTS}') as header,
+  len(list_filter(sl, lambda s: regexp_matches(s, '{LOOSE}'))) as trails, len(list_filter(sl, lambda s: length(s) <= 45)) as shorts from sh0),
 shaped_ as (select *, case when lines = 0 then 0 else round((case when header then 4.0::double else 0 end) + 3.0::double * trails / lines + 1.5::double * shorts / lines, 3) end as score from shapes_)"""
 
 
@@ -473,11 +538,31 @@ def toc_windows(spark, sf_dir):
     return found.withColumn("length", F.col("length").cast("long"))
 
 
-@query()
+@query(
+    """select t.doc, t.rank, t.s as "start", cast(t.e - t.s + 1 as int) as length, round(sum(x.score), 3) as score
+       from (select doc, rank, arg_max(s, step) as s, arg_max(e, step) as e from trim_ group by doc, rank) t join shaped_ x on x.doc = t.doc and x.page between t.s and t.e group by all""",
+    (
+        O.PAGE_TEXT,
+        SHAPES,
+        """cand_ as (select doc, s, n, row_number() over (partition by doc order by score desc, n, s) as i from (
+             select a.doc, a.page as s, n.n as n, round(sum(b.score), 3) as score, sum(b.trails) as trails from shaped_ a cross join (select unnest(range(1, 9)) as n) n
+             join shaped_ b on a.doc = b.doc and b.page between a.page and a.page + n.n - 1 where a.page <= 30 and b.page <= 30 group by a.doc, a.page, n.n having count(*) = n.n and sum(b.trails) >= 3))""",
+        """pick_ as (select doc, i, [{'s': s, 'n': n}] as taken from cand_ where i = 1 union all
+             select c.doc, c.i, case when len(p.taken) >= 4 or len(list_filter(p.taken, lambda t: c.s < t.s + t.n and t.s < c.s + c.n)) > 0 then p.taken else list_append(p.taken, {'s': c.s, 'n': c.n}) end
+             from pick_ p join cand_ c on c.doc = p.doc and c.i = p.i + 1)""",
+        "taken_ as (select doc, unnest(taken) as t, cast(unnest(range(len(taken))) as int) as rank from (select doc, arg_max(taken, i) as taken from pick_ group by doc))",
+        """trim_ as (select doc, rank, t.s as s, t.s + t.n - 1 as e, 0 as step from taken_ union all
+             select r.doc, r.rank, case when a.score <= b.score then r.s + 1 else r.s end, case when a.score <= b.score then r.e else r.e - 1 end, r.step + 1 from trim_ r
+             join shaped_ a on a.doc = r.doc and a.page = r.s join shaped_ b on b.doc = r.doc and b.page = r.e where r.e > r.s and a.score < 1.0 and b.score < 1.0)""",
+    ),
+)
 def best_toc_windows(spark, sf_dir):
     return outline.best_windows(outline.page_shapes(O.pages(spark, sf_dir)))
 
 
+ORACLE_SQL["best_toc_windows"] = "with recursive " + ORACLE_SQL["best_toc_windows"].removeprefix("with ")
+
+
 ENTRY_LINES = """e0 as (select doc, ord, concat(title, ' ... ', coalesce(cast(printed as varchar), 'xiv')) as line, printed, title from entries_ where not contains(title, chr(10)))"""
 
 
@@ -557,12 +642,83 @@ def page_bounds(spark, sf_dir):
     return outline.page_bounds(O.entries(spark, sf_dir).withColumn("page", (F.col("ord") % 6).cast("int"))).select("doc", "page", "bound")
 
 
-@query()
+as_matched = lambda t: f"replace(replace(translate(regexp_replace({t}, '{WS}', '', 'g'), '。、，：；！？（）【】「」『』•‧⋅', '.,,:;!?()[]\"\"\"\"···'), '‥', '..'), '…', '...')"
+share_of = lambda w, t: f"len(list_filter(string_split({w}, ''), lambda c: contains({t}, c))) / length({w})"
+
+
+def kinds(pairs: str, strong: bool) -> str:
+    """CTEs from ``pairs(doc, ord, page, title, text)`` to ``kind_`` with how the title is found; the overlay's titles have no chapters."""
+    fuzzy = "" if strong else f"when length(core12) >= 6 and token = '' and {share_of('core12', 'flat')} >= 0.75 then 'fuzzy'"
+    head = "regexp_extract(substr(flat, p, 40), concat('^(?:', pat, ')'))"
+    behind = "regexp_replace(substr(flat, p + length(" + head + "), 18), '[.\\s0-9]+', '', 'g')"
+    return f"""k0_ as (select *, {as_matched("title")} as name, {as_matched("coalesce(text, '')")} as flat from {pairs}),
+  k1_ as (select *, regexp_extract(name, '^([0-9]{{1,3}}(?:\\.[0-9]{{1,3}}){{0,3}})', 1) as token, regexp_replace(name, '[0-9\\s.~$_{{}}^·•]+', '', 'g') as bare from k0_),
+  k2_ as (select *, substr(bare, 1, 10) as core10, substr(bare, 1, 12) as core12,
+    case when contains(token, '.') then array_to_string(list_filter(string_split(replace(token, '.', ''), ''), lambda x: x <> ''), '\\.*') else token end as pat from k1_),
+  k3_ as (select *, case when token <> '' and length(core10) >= 4 and regexp_matches(flat, pat)
+    then list_filter(range(1, length(flat) + 1), lambda p: (p = 1 or not contains('(（【[、],，。．：:；;', substr(flat, p - 1, 1))) and {head} <> '') else [] end as places from k2_),
+  kind_ as (select doc, ord, page, title, case when name = '' or flat = '' then null when contains(flat, substr(name, 1, 6)) then 'strict'
+    when token <> '' then case when len(list_filter(places, lambda p: {share_of('core10', 'flat')} >= 0.85 or {share_of('core10', behind)} >= 0.55)) > 0 then 'numtok' end {fuzzy} end as kind from k3_)"""
+
+
+PLACED = """placed_ as (select e.doc, e.ord, e.level, e.title, cast(case when e.printed is null then null else coalesce(r.hit, greatest(1, least(e.printed + r.last_offset, r.last_end))) end as int) as physical from entries_ e left join (
+  select e.doc, e.ord, arg_min(e.printed + s."offset", s."start") filter (e.printed between s."start" - s."offset" and s."end" - s."offset") as hit, arg_max(s."offset", s."start") as last_offset, max(s."end") as last_end
+  from entries_ e join segments_ s using (doc) group by all) r using (doc, ord))"""
+
+
+@query(
+    """select doc, cast(i as int) as position, cast(level as int) as level, title, page from (
+         with recursive cl_ as (select doc, i, 1 as level, title, page from or_ where i = 1 union all
+           select o.doc, o.i, greatest(1, least(o.level, c.level + 1)), o.title, o.page from cl_ c join or_ o on o.doc = c.doc and o.i = c.i + 1) select * from cl_)""",
+    (
+        O.PAGE_TEXT,
+        O.ENTRIES,
+        OFFSETS,
+        SEGMENTS,
+        SHAPES,
+        PLACED,
+        """around_ as (select *, coalesce(max(physical) over (partition by doc order by ord rows between unbounded preceding and 1 preceding), 0) as low,
+             (select min_by(x.physical, x.ord) from placed_ x where x.doc = p.doc and x.ord > p.ord and x.physical is not null) as after, (select max(page) from pages_ x where x.doc = p.doc) as total from placed_ p)""",
+        """open_ as (select a.doc, a.ord, g.page, a.title, g.text from around_ a join pages_ g on g.doc = a.doc and g.page > a.low and g.page <= coalesce(a.after, a.total) join shaped_ s on s.doc = g.doc and s.page = g.page
+             where a.physical is null and s.score < 3.0)""",
+        kinds("open_", True),
+        f"same_ as (select doc, ord, page from (select *, substr(regexp_replace(name, '[^\\x{{3040}}-\\x{{9FFF}}A-Za-z0-9]', '', 'g'), 1, 12) as letters from k2_) where letters <> '' and {share_of('letters', 'text')} >= 0.3)",
+        """walk_ as (select doc, ord, physical, coalesce(physical, 0) as last from first_ union all
+             select doc, ord, found, greatest(last, coalesce(found, 0)) from (
+               select a.doc, a.ord, w.last, coalesce(a.physical,
+                 (select max(k.page) from kind_ k where k.doc = a.doc and k.ord = a.ord and k.kind is not null and k.page <= coalesce(a.after - 1, least(w.last + 5, a.total)) and k.page >= greatest(w.last + 1, coalesce(a.after - 1, least(w.last + 5, a.total)) - 3)),
+                 case when a.after > w.last and exists (select 1 from same_ x where x.doc = a.doc and x.ord = a.ord and x.page = a.after) then a.after end) as found
+               from walk_ w join around_ a on a.doc = w.doc and a.ord = w.ord + 1))""",
+        "or_ as (select p.doc, row_number() over (partition by p.doc order by w.physical, p.ord) as i, p.level, p.title, w.physical as page from walk_ w join placed_ p using (doc, ord) where w.ord > 0 and w.physical is not null)",
+    ),
+)
 def outlines(spark, sf_dir):
     return outline.outline(O.entries(spark, sf_dir), O.pages(spark, sf_dir))
 
 
-@query()
+ORACLE_SQL["outlines"] = "with recursive " + ORACLE_SQL["outlines"].removeprefix("with ").replace("walk_ as (select", "first_ as (select distinct doc, 0::bigint as ord, null::int as physical from placed_), walk_ as (select", 1)
+
+
+@query(
+    """select d.doc, coalesce(e.entries, 0) as entries, coalesce(c.sampled, 0) as sampled, coalesce(c.passed, 0) as passed, v.shift, e.structural,
+         case when coalesce(e.entries, 0) = 0 then 'empty' when coalesce(c.passed, 0) / greatest(coalesce(c.sampled, 0), 1) >= 0.5 then 'pass' when v.shift is not null then 'offset_shift' else 'suspect' end as status
+       from (select distinct doc from pages_) d left join (select doc, count(*) as entries, count(*) >= 20 and count(*) filter (level = 1) <= 1 as structural from numbered_ group by doc) e using (doc)
+         left join (select doc, count(*) as sampled, count(kind) as passed from own_ group by doc) c using (doc) left join voted_ v using (doc)""",
+    (
+        O.PAGE_TEXT,
+        O.ENTRIES,
+        OFFSETS,
+        SEGMENTS,
+        PLACED,
+        "numbered_ as (select *, row_number() over (partition by doc order by ord) - 1 as i, count(*) over (partition by doc) as n from placed_ where physical is not null)",
+        "sample_ as (select * from numbered_ where n <= 5 or i in (select round_even(j * (n - 1) / 4, 0) from (select unnest(range(5)) as j)))",
+        "pairs_ as (select s.doc, s.ord, p.page, s.title, p.text, t.shift from sample_ s cross join (select unnest(range(-10, 51)) as shift) t left join pages_ p on p.doc = s.doc and p.page = s.physical + t.shift)",
+        kinds("pairs_", False).replace("kind_ as (select doc, ord, page, title,", "kind_ as (select doc, ord, page, title, shift,"),
+        "own_ as (select * from kind_ where shift = 0)",
+        """voted_ as (select doc, arg_min(shift, case when shift > 0 then shift else 100 + shift end) as shift from (select k.doc, k.shift, count(distinct k.title) as titles from kind_ k join own_ o using (doc, ord)
+             where o.kind is null and k.shift <> 0 and k.kind in ('strict', 'numtok', 'chapter') group by all) where titles >= 3 group by doc)""",
+    ),
+)
 def outline_checks(spark, sf_dir):
     p = O.pages(spark, sf_dir)
     placed = segments.resolve(O.entries(spark, sf_dir).filter("printed is not null"), segments.segments(p))
@@ -570,17 +726,17 @@ def outline_checks(spark, sf_dir):
 
 
 @query(
-    "select doc_id, case when cut is null then n else cut - 1 end as lines from n_ left join (select doc_id, min(i) as cut from k_ where k = 2 group by doc_id) using (doc_id) where coalesce(cut, n) <= 250",
+    "select doc_id, cast(least(250, coalesce(cut - 1, n)) as bigint) as lines from n_ left join (select doc_id, min(i) as cut from v_ where k > 1 and bare <> '' group by doc_id) using (doc_id)",
     (
-        f"u_ as (select doc_id, unnest(string_split(text, '{O.NL}')) as l, unnest(range(1, len(string_split(text, '{O.NL}')) + 1)) as i from documents where not contains(text, '{O.NL * 4}'))",
-        f"k_ as (select *, row_number() over (partition by doc_id, l order by i) as k from u_ where {strip('l')} <> '')",
-        "n_ as (select doc_id, count(*) as n from u_ group by doc_id)",
+        f"u_ as (select doc_id, unnest(string_split(text, '{O.NL}')) as l, unnest(range(1, len(string_split(text, '{O.NL}')) + 1)) as j from documents where text is not null)",
+        f"t_ as (select *, {strip('l')} as bare, l = lag(l) over w and l = lag(l, 2) over w as third from u_ window w as (partition by doc_id order by j))",
+        "v_ as (select doc_id, l, bare, row_number() over (partition by doc_id order by j) as i, row_number() over (partition by doc_id, l order by j) as k from t_ where not coalesce(third and bare = '', false))",
+        "n_ as (select doc_id, count(*) as n from v_ group by doc_id)",
     ),
 )
 def repetition_cuts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(~F.contains("text", F.lit(O.NL * 4)))
-    out = docs.select("doc_id", F.size(F.split(X.trim_repetition(F.col("text")), O.NL)).cast("long").alias("lines"), F.size(F.split("text", O.NL)).alias("all"))
-    return out.filter("lines < 250 or all <= 250").select("doc_id", "lines")
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    return docs.select("doc_id", F.size(F.split(X.trim_repetition(F.col("text")), O.NL)).cast("long").alias("lines"))
 
 
 # ---- numbers, status, state
