@@ -17,7 +17,7 @@ def test_import_needs_no_session():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the synthetic tables")
-@pytest.mark.parametrize("name", ["quality_tiers", "page_segments", "ambiguity_lines", "formula_pages", "outline_levels", "status_latest", "weighted_agreement"])
+@pytest.mark.parametrize("name", ["quality_tiers", "joined_lines", "page_segments", "ambiguity_lines", "formula_pages", "outline_levels", "best_toc_windows", "span_regions", "prose_paragraphs", "repetition_cuts", "status_latest", "weighted_agreement"])
 def test_against_duckdb(spark, name):
     import duckdb
 

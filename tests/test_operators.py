@@ -218,3 +218,92 @@ def test_geometry(spark):
     r = G.rect(*[F.lit(float(x)) for x in (0, 0, 10, 10)])
     s = G.rect(*[F.lit(float(x)) for x in (5, 5, 20, 20)])
     assert tuple(spark.range(1).select(G.area(r), G.overlap(r, s), G.covered(r, s), G.area(G.union(r, s)), G.intersects(r, s)).first()) == (100.0, 25.0, 0.25, 400.0, True)
+
+
+def test_longest_rising_against_all_subsequences():
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        values = [rng.randint(0, 6) for _ in range(rng.randint(0, 9))]
+        fine = [c for n in range(len(values) + 1) for c in itertools.combinations(range(len(values)), n) if all(values[a] <= values[b] for a, b in zip(c, c[1:]))]
+        most = max(map(len, fine))
+        # the end comes first, and seen from it each member comes first
+        want = min((c for c in fine if len(c) == most), key=lambda c: c[::-1])
+        assert outline.rising(values) == list(want), values
+
+
+def test_recovered_numbers(spark):
+    entries = spark.createDataFrame([("b", i, None) for i in range(6)], "doc string, ord long, printed int")
+    strip = spark.createDataFrame([("b", i, n) for i, n in enumerate([3, 9, 90, 12, 20])], "doc string, ord long, n int")
+    got = {r.ord: r.printed for r in outline.recovered_numbers(entries, strip).collect()}
+    assert got == {0: None, 1: None, 2: 3, 3: 9, 4: 12, 5: 20}
+
+
+def test_anchor_scan_takes_one_entry_a_page(spark):
+    entries = spark.createDataFrame([("b", i, t) for i, t in enumerate(["qwrt", "plkj", "zxcv", "mnbs"])], "doc string, ord long, title string")
+    texts = ["", "qwrt plkj", "zxcv", "plkj", "mnbs"]
+    pages = spark.createDataFrame([("b", i + 1, t) for i, t in enumerate(texts)], "doc string, page int, text string")
+    got = sorted((r.ord, r.physical, r.anchor_kind) for r in outline.anchor_scan(entries, pages).collect())
+    assert got == [(0, 2, "strict"), (2, 3, "strict"), (3, 5, "strict")]
+
+
+def test_unnumbered_entries_between_placed_ones(spark):
+    rows = [(0, "One thing", 2), (1, "第2章 Wide seas", None), (2, "Lost words", None), (3, "Three things", 9), (4, "Tail part", None), (5, "Far tail", None)]
+    entries = spark.createDataFrame([("b", *r) for r in rows], "doc string, ord long, title string, physical int")
+    texts = {2: "One thing", 4: "Wide seas", 5: "第2章", 6: "Wide seas again", 9: "Three things, lost words", 11: "Tail part", 15: "Far tail", 18: "Far tail"}
+    pages = spark.createDataFrame([("b", p, texts.get(p, "-")) for p in range(1, 19)], "doc string, page int, text string")
+    shapes = spark.createDataFrame([("b", 3, 9.0)], "doc string, page int, score double")
+    got = sorted((r.ord, r.physical, r.anchor_kind) for r in outline.attach_unnumbered(entries, pages, shapes).collect())
+    assert got == [(1, 6, "strict-alt"), (2, 9, "same-page"), (4, 11, "strict"), (5, 15, "strict")]
+
+
+def test_cache_entries_and_section_table(spark):
+    rows = [("f", "degraded", "p", "t"), ("f", "unknown", "p", "t"), ("", "ok", "p", "t")]
+    found = state.entry_problems(spark.createDataFrame(rows, "fingerprint string, verdict string, pdf string, checked_at string")).collect()
+    assert sorted(r.problem for r in found) == ["missing fingerprint", "unknown verdict"]
+    parts = [("b", "s1", 3, [4, 5], False), ("b", "s2", 2, [], True), ("b", "s3", 0, [], False)]
+    table = markdown.section_table(spark.createDataFrame(parts, "doc string, title string, audited long, suspect_pages array<int>, unjudgeable boolean"), "doc").first().table
+    assert table.split("\n") == ["| Section | Audited | Suspect pages | Verdict |", "|---|---|---|---|", "| s1 | 3 | 4,5 | suspect(2/3) |", "| s2 | 2 | - | unaudited |", "| s3 | 0 | - | unaudited |"]
+
+
+def test_files_as_tables(spark, tmp_path):
+    import json
+
+    from leafworks.sources import readers, sinks
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "split_pdfs").mkdir()
+    for p in ("x.pdf", "a/y.PDF", "split_pdfs/z.pdf", "a/n.txt"):
+        (tmp_path / p).write_bytes(b"%PDF")
+    names = sorted(r.path.rsplit("/", 1)[1] for r in readers.pdf_files(spark, str(tmp_path)).collect())
+    assert names == ["x.pdf", "y.PDF"]
+    regions_ = {"fingerprint": "f", "dpi": 1, "pages": {"3": [{"bbox_pt": [1.0, 2.0, 3.0, 4.0], "text": "x=1", "class": "formula", "source": "span"}]}}
+    (tmp_path / "b.regions.json").write_text(json.dumps(regions_))
+    (tmp_path / "c.regions.json").write_text("{ damaged")
+    row = readers.regions(spark, str(tmp_path)).collect()
+    assert [(r.page, r.ord, r.bbox.y1, r["class"]) for r in row] == [(3, 0, 4.0, "formula")]
+    audit = {"fingerprint": "f", "pages": {"1": {"page_verdict": "ok", "verdicts": [{"text": "t", "verdict": "suspect", "signals": ["L1:x"]}]}, "2": {"page_verdict": "empty", "verdicts": []}}}
+    (tmp_path / "b.faudit.json").write_text(json.dumps(audit))
+    got = sorted((r.page, r.page_verdict, r.verdict) for r in readers.verdicts(spark, str(tmp_path)).collect())
+    assert got == [(1, "ok", "suspect"), (2, "empty", None)]
+    for name, text in (("list", '[{"page":1,"region_fingerprint":"r","status":"passed"}]'), ("object", '{"checks":[{"page":2,"region_fingerprint":"r","status":"escalated"}]}'), ("bad", '{"x":1}')):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "d.json").write_text(text)
+    assert readers.decisions(spark, str(tmp_path / "list")).first().status == "passed" and readers.decisions(spark, str(tmp_path / "object")).first().page == 2
+    with pytest.raises(Exception, match="not a list of decisions"):
+        readers.decisions(spark, str(tmp_path / "bad")).collect()
+    (tmp_path / "cache").mkdir()
+    (tmp_path / "cache" / "c.json").write_text('{"entries":{"p":{"fingerprint":"f","verdict":"ok","pdf":"p","checked_at":"t"}}}')
+    assert readers.check_cache(spark, str(tmp_path / "cache")).first().verdict == "ok"
+    (tmp_path / "cache" / "c.json").write_text("{ damaged")
+    with pytest.raises(Exception):  # noqa: B017
+        readers.check_cache(spark, str(tmp_path / "cache")).collect()
+    sinks.replace_file(tmp_path / "out.txt", "one")
+    sinks.replace_file(tmp_path / "out.txt", "two")
+    assert (tmp_path / "out.txt").read_text() == "two"
+    first, second = (spark.createDataFrame([(n,)], "n int") for n in (1, 2))
+    sinks.keep_first(first, str(tmp_path / "kept"))
+    sinks.keep_first(second, str(tmp_path / "kept"))
+    assert spark.read.parquet(str(tmp_path / "kept")).first().n == 1
