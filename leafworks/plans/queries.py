@@ -656,7 +656,7 @@ def kinds(pairs: str, strong: bool) -> str:
   k2_ as (select *, substr(bare, 1, 10) as core10, substr(bare, 1, 12) as core12,
     case when contains(token, '.') then array_to_string(list_filter(string_split(replace(token, '.', ''), ''), lambda x: x <> ''), '\\.*') else token end as pat from k1_),
   k3_ as (select *, case when token <> '' and length(core10) >= 4 and regexp_matches(flat, pat)
-    then list_filter(range(1, length(flat) + 1), lambda p: (p = 1 or not contains('(（【[、],，。．：:；;', substr(flat, p - 1, 1))) and {head} <> '') else [] end as places from k2_),
+    then list_filter(list_filter(list_transform(string_split(flat, ''), lambda c, i: case when c = token[1] then i end), lambda p: p is not null), lambda p: (p = 1 or not contains('(（【[、],，。．：:；;', substr(flat, p - 1, 1))) and {head} <> '') else []::bigint[] end as places from k2_),
   kind_ as (select doc, ord, page, title, case when name = '' or flat = '' then null when contains(flat, substr(name, 1, 6)) then 'strict'
     when token <> '' then case when len(list_filter(places, lambda p: {share_of('core10', 'flat')} >= 0.85 or {share_of('core10', behind)} >= 0.55)) > 0 then 'numtok' end {fuzzy} end as kind from k3_)"""
 
