@@ -1,3 +1,3 @@
 """Registered queries and the signals that they run over."""
 
-from leafworks.plans import contents, queries  # noqa: F401  they register their queries
+from leafworks.plans import contents, queries, records  # noqa: F401  they register their queries

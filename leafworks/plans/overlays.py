@@ -57,7 +57,7 @@ status_ as (
 
 
 def sql(spark: SparkSession, sf_dir: str, ctes: list[str], query: str) -> DataFrame:
-    names = [t for t in ("documents", "events", "lineitem", "orders", "embeddings", "benchmark", "pages") if any(f"from {t}" in x or f"join {t}" in x for x in [*ctes, query])]
+    names = [t for t in ("documents", "events", "lineitem", "orders", "nation", "embeddings", "benchmark", "pages") if any(f"from {t}" in x or f"join {t}" in x for x in [*ctes, query])]
     for t in names:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     return spark.sql(f"with {','.join(ctes)} {query}")

@@ -17,14 +17,14 @@ def test_import_needs_no_session():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the synthetic tables")
-@pytest.mark.parametrize("name", ["quality_tiers", "joined_lines", "page_segments", "ambiguity_lines", "formula_pages", "outline_levels", "best_toc_windows", "span_regions", "prose_paragraphs", "repetition_cuts", "status_latest", "weighted_agreement"])
+@pytest.mark.parametrize("name", ["quality_tiers", "joined_lines", "page_segments", "ambiguity_lines", "formula_pages", "outline_levels", "best_toc_windows", "span_regions", "prose_paragraphs", "repetition_cuts", "status_latest", "weighted_agreement", "rising_numbers", "recovered_numbers", "anchor_places", "anchor_gates", "model_entries", "section_dirs", "layout_boxes", "regions_on_pages", "raster_rows", "cache_problems"])
 def test_against_duckdb(spark, name):
     import duckdb
 
     from leafworks.plans.queries import ORACLE_SQL, QUERIES
 
     con = duckdb.connect()
-    for t in ("documents", "events", "lineitem"):
+    for t in ("documents", "events", "lineitem", "orders", "nation"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     want, got = con.sql(ORACLE_SQL[name]).df(), QUERIES[name](spark, DATA).toPandas()
     key = lambda d: sorted(tuple(f"{x:.6f}" if isinstance(x, float) else str(x) for x in r) for r in d[sorted(d.columns)].itertuples(index=False))
