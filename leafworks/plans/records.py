@@ -228,7 +228,7 @@ def page_ink(spark, sf_dir):
 
 @query(
     """select doc, cast(row_number() over (partition by doc order by y0) - 1 as int) as ord, y0::int as y0, y1::int as y1, x from (
-         select doc, k % 2 as x, unnest(case when c > 3 then [[a, a + b - 1], [a + b + c, a + b + c + d - 1]] else [[a, a + b + c + d - 1]] end) as band, band[1] as y0, band[2] as y1 from bands_) where y1 - y0 + 1 >= 7""",
+         select doc, (k % 2)::double as x, unnest(case when c > 3 then [[a, a + b - 1], [a + b + c, a + b + c + d - 1]] else [[a, a + b + c + d - 1]] end) as band, band[1] as y0, band[2] as y1 from bands_) where y1 - y0 + 1 >= 7""",
     ("bands_ as (select o_orderkey::varchar as doc, o_orderkey as k, o_orderkey % 5 as a, o_orderkey % 12 + 1 as b, o_orderkey % 7 + 1 as c, o_orderkey % 10 + 1 as d from orders)",),
 )
 def raster_rows(spark, sf_dir):

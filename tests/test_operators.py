@@ -307,3 +307,37 @@ def test_files_as_tables(spark, tmp_path):
     sinks.keep_first(first, str(tmp_path / "kept"))
     sinks.keep_first(second, str(tmp_path / "kept"))
     assert spark.read.parquet(str(tmp_path / "kept")).first().n == 1
+
+
+def test_routes_counters_lookup_and_confidence(spark):
+    pages = spark.createDataFrame([("d", 1, 0.0), ("d", 2, 0.05), ("d", 3, None), ("d", 4, 0.0), ("d", 5, 0.0)], "doc string, page int, garble double")
+    shapes = spark.createDataFrame([("d", 1, 5), ("d", 2, 9), ("d", 3, 9), ("d", 4, 4)], "doc string, page int, trails int")
+    assert rows(outline.transcription_route(pages, shapes), "page", "route") == [(1, "textlayer"), *[(p, "doc-parser") for p in (2, 3, 4, 5)]]
+    entries = spark.createDataFrame([("d", 1, 1, "a"), ("d", 2, 1, None), ("d", 3, 2, "a")], "doc string, ord long, level int, method string")
+    assert rows(outline.counters(entries, "level", "method"), "counter", "value", "n") == [("level", "1", 2), ("level", "2", 1), ("method", "a", 2)]
+    assert outline.counters(entries.limit(0), "level").count() == 0
+    assert outline.sampled_entries(entries, 2, "s").collect() == outline.sampled_entries(entries.orderBy(F.desc("ord")), 2, "s").collect()
+    found = spark.createDataFrame([("d", 1, 2, "b"), ("d", 1, 1, "a")], "doc string, page int, ord int, text string")
+    got = {r.page: [x.text for x in r.regions] for r in regions.on_pages(pages.select("doc", "page"), found).collect()}
+    assert got == {1: ["a", "b"], 2: [], 3: [], 4: [], 5: []}
+    lines = spark.createDataFrame([("d", 1.0), ("d", 0.5), ("d", None), ("e", None)], "doc string, confidence double")
+    assert rows(quality.mean_confidence(lines, "doc"), "doc", "confidence") == [("d", 0.75), ("e", None)]
+
+
+def test_rising_numbers_of_each_document(spark):
+    given_ = [("a", i, n) for i, n in enumerate([5, 1, 9, 2, 2, 8, 3])] + [("b", 0, 4)]
+    got = outline.longest_rising(spark.createDataFrame(given_, "doc string, ord int, n int"))
+    assert rows(got, "doc", "ord", "n") == [("a", 1, 1), ("a", 3, 2), ("a", 4, 2), ("a", 5, 8), ("b", 0, 4)]
+    assert outline.longest_rising(spark.createDataFrame([], "doc string, ord int, n int")).count() == 0
+
+
+def test_outline_restored_from_its_backup(spark, tmp_path):
+    from leafworks.sources import sinks
+
+    first, later = (spark.createDataFrame([(t, 1)], "title string, page int") for t in ("first", "later"))
+    backup, path = f"{tmp_path}/toc.bak", f"{tmp_path}/toc"
+    for rows_ in (first, later):
+        sinks.keep_first(rows_, backup)
+        sinks.replace_table(rows_, path)
+    assert sinks.restore(spark, backup, path) == 1 and spark.read.parquet(path).first().title == "first"
+    assert sinks.restore(spark, backup, path, purge=True) == 1 and not (tmp_path / "toc.bak").exists()
