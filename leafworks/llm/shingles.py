@@ -12,9 +12,12 @@ parts, and every pair of parts is a task of its own.
 
 First verified are the links that the trie self-join of SimHash fingerprints finds (of the distinct shingles, so that
 a repeated line has no more weight than any other), which hold most near copies together, and some neighbours of
-each set in its buckets; then all pairs of a bucket that are not connected yet. A pair that is connected by
-then needs no link of its own, so the components are those of all links. No fingerprint decides anything: it
-proposes, and the whole sets of shingles are compared.
+each set in its buckets; then, in rounds, the pairs of a bucket that are not connected yet. A pair that is connected by
+then needs no link of its own, so the components are those of all links. A round takes the most alike of a set's pairs
+only, so that a large group of near copies is connected by a few links of each member; the next takes ``MORE`` times as
+many of those that are still not connected, and the last is the one that leaves no pair out. Postings carry
+a short sketch, so that pairs that are too different go inside a bucket and make no rows. No fingerprint
+decides anything: it proposes, and the whole sets of shingles are compared.
 """
 
 from __future__ import annotations
@@ -36,8 +39,12 @@ from leafworks.llm.simhash import links, majority, named_by, one_of_each, shingl
 SAMPLED, COMMON = 64, 1 << 16
 #: Members of a bucket, as the sample has it, beyond which it is split.
 HOT = 4096
-#: Neighbours of a set that are verified before all pairs, and bits by which fingerprints may differ that are.
-NEIGHBOURS, BUDGET = 3, 4
+#: Neighbours of a set that are verified before all pairs, out of how many, and bits by which fingerprints may differ that are.
+NEIGHBOURS, AHEAD, BUDGET = 3, 32, 4
+#: Pairs of a set that are verified in the first round of those not connected, and times as many in each next one.
+FIRST, MORE = 16, 16
+#: Bits of the sketch that postings carry.
+SHORT = 512
 #: Bits of the filter of the sets to make again; with more sets it lets more of the others pass, none less.
 FILTER_BITS = 1 << 24
 #: Pairs that a task holds at once.
@@ -69,21 +76,21 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     return h[order], found.column("n").to_numpy()[order]
 
 
-def sketch(own: np.ndarray) -> bytes:
-    """Parities of the numbers of shingles by their low bits; as many bits as shingles or more, a power of two."""
-    bits = max(64, 1 << (len(own) - 1).bit_length()) if len(own) else 64
+def sketch(own: np.ndarray, bits: int = 0) -> bytes:
+    """Parities of the numbers of shingles by their low bits; as many bits as shingles or more, a power of two, if not given."""
+    bits = bits or (max(64, 1 << (len(own) - 1).bit_length()) if len(own) else 64)
     count = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def sets(docs: DataFrame, words: int, t: Fraction, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``(doc_id, fp, mark, size, sketch, prefix)`` of every row: the hash that names its set, its SimHash, and the
-    prefix in the common order."""
+    """``(doc_id, fp, mark, size, sketch, bits, prefix)`` of every row: the hash that names its set, its SimHash, its
+    sketches, the short one last, and the prefix in the common order."""
     known, counts = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            fps, marks, sizes, sketches, prefixes = [], [], [], [], []
+            fps, marks, sizes, sketches, short, prefixes = [], [], [], [], [], []
             for text in text_bytes(batch.column("text")):
                 own = shingle_set(text, words)
                 weight = np.zeros(len(own), np.int64)
@@ -95,13 +102,14 @@ def sets(docs: DataFrame, words: int, t: Fraction, common: tuple[np.ndarray, np.
                 marks.append(majority(own[:, None])[0])
                 sizes.append(len(own))
                 sketches.append(sketch(own))
+                short.append(sketch(own, SHORT))
                 prefixes.append(own[np.lexsort((own, weight))[:p]].tobytes())
             names = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, marks)]
-            arrays = [batch.column("doc_id"), *names, pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp", "mark", "size", "sketch", "prefix"])
+            arrays = [batch.column("doc_id"), *names, pa.array(sizes, pa.int32()), *(pa.array(x, pa.binary()) for x in (sketches, short, prefixes))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp", "mark", "size", "sketch", "bits", "prefix"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, fp bigint, mark bigint, size int, sketch binary, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, fp bigint, mark bigint, size int, sketch binary, bits binary, prefix binary")
 
 
 def whole_sets(docs: DataFrame, words: int, fps: DataFrame) -> DataFrame:
@@ -171,7 +179,9 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> tuple[dict[str, np.ndarray], np
     if not sum(b.num_rows for b in rows):
         return None
     found = pa.Table.from_batches(rows)
-    x = {c: found.column(c).to_numpy() for c in found.column_names}
+    x = {c: found.column(c).to_numpy() for c in found.column_names if c != "bits"}
+    if "bits" in found.column_names:
+        x["bits"] = np.frombuffer(b"".join(found.column("bits").to_pylist()), np.uint64).reshape(-1, SHORT // 64)
     order = np.lexsort((x["node"], x["size"], x["side"], x["j"], x["i"], x["h"]))
     x = {c: v[order] for c, v in x.items()}
     new = np.ones(len(order), bool)
@@ -197,13 +207,32 @@ def possible(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, t: Fraction
     return (x["node"][a] != x["node"][b]) & (np.minimum(n, m) >= least_common(np.maximum(n, m), t)) & (most >= need)
 
 
-def _pairs(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+def apart(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of the short sketches of rows ``a`` and ``b``: at most as many as shingles that only one has."""
+    return np.bitwise_count(x["bits"][a] ^ x["bits"][b]).sum(axis=1, dtype=np.int64)
+
+
+def alike(differ: np.ndarray, sizes: np.ndarray, t: Fraction) -> np.ndarray:
+    """Whether sets of so many shingles, both together, may be similar if at least ``differ`` are in one only."""
+    return differ * (t.numerator + t.denominator) <= sizes * (t.denominator - t.numerator)
+
+
+def _near(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs of rows (a, b), those that may be similar, and by how many bits they differ."""
+    fine = possible(x, a, b, t)
+    a, b = a[fine], b[fine]
+    differ = apart(x, a, b)
+    fine = alike(differ, x["size"][a].astype(np.int64) + x["size"][b], t)
+    return a[fine], b[fine], differ[fine]
+
+
+def _pairs(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
     if len(a):
         lo, hi = np.minimum(x["node"][a], x["node"][b]), np.maximum(x["node"][a], x["node"][b])
-        order = np.lexsort((hi, lo))
-        lo, hi = lo[order], hi[order]
+        order = np.lexsort((~more, hi, lo))
+        lo, hi, more = lo[order], hi[order], more[order]
         new = np.append(True, (np.diff(lo) != 0) | (np.diff(hi) != 0))
-        yield pa.RecordBatch.from_arrays([pa.array(lo[new]), pa.array(hi[new])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(lo[new]), pa.array(hi[new]), pa.array(more[new])], names=["a", "b", "more"])
 
 
 def marked(prints: DataFrame, budget: int) -> DataFrame:
@@ -218,47 +247,74 @@ def marked(prints: DataFrame, budget: int) -> DataFrame:
     return same.unionByName(two.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
 
 
+def paired(live: DataFrame, t: Fraction) -> DataFrame:
+    """The postings, with the short sketches, that may be similar to another one of their cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (found := _cells(batches)) is None:
+            return
+        x, starts, ends = found
+        end = np.repeat(ends, ends - starts)
+        has, here, step = np.zeros(len(end), bool), np.arange(len(end)), 1
+        while len(here := here[here + step < end[here]]):
+            a = here[~(has[here] & has[here + step])]
+            a, b, _ = _near(x, a, a + step, t)
+            has[a] = has[b] = True
+            step += 1
+        bits = pa.array([row.tobytes() for row in x.pop("bits")[has]], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(pa.array(v[has]) for v in x.values()), bits], names=[*x, "bits"])
+
+    return live.select(*(c.split()[0] for c in POSTING.split(", ")), "bits").repartition(8 * width(live.sparkSession), *CELL).mapInArrow(run, POSTING + ", bits binary")
+
+
 def neighbours(live: DataFrame, t: Fraction) -> DataFrame:
-    """``(a, b)``: pairs next to each other by size in a cell."""
+    """``(a, b)``: for each set in a cell the most alike of those that follow by size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (found := _cells(batches)) is not None:
-            x, starts, _ = found
-            inside = np.ones(len(x["h"]), bool)
-            inside[starts] = False
-            b = np.flatnonzero(inside)
-            fine = possible(x, b - 1, b, t)
-            yield from _pairs(x, b[fine] - 1, b[fine])
+        if (found := _cells(batches)) is None:
+            return
+        x, starts, ends = found
+        end = np.repeat(ends, ends - starts)
+        here, near = np.arange(len(end)), []
+        for step in range(1, AHEAD + 1):
+            here = here[here + step < end[here]]
+            near.append(_near(x, here, here + step, t))
+        a, b, differ = map(np.concatenate, zip(*near))
+        order = np.lexsort((differ, a))
+        a, b = a[order], b[order]
+        few = np.arange(len(a)) - np.searchsorted(a, a) < NEIGHBOURS
+        yield from _pairs(x, a[few], b[few], np.zeros(few.sum(), bool))
 
-    return live.repartition(8 * width(live.sparkSession), *CELL).mapInArrow(run, "a bigint, b bigint")
+    return live.repartition(8 * width(live.sparkSession), *CELL).mapInArrow(run, "a bigint, b bigint, more boolean").select("a", "b")
 
 
-def unconnected(live: DataFrame, t: Fraction) -> DataFrame:
-    """``(a, b)``: all pairs of a cell whose ``root`` differs."""
+def unconnected(live: DataFrame, t: Fraction, most: int) -> DataFrame:
+    """``(a, b, more)``: pairs of a cell that may be similar and whose ``root`` differs, for each row up to ``most`` with
+    later ones, the most alike; more: the row has others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (found := _cells(batches)) is None:
             return
         x, starts, ends = found
         mixed = np.minimum.reduceat(x["root"], starts) != np.maximum.reduceat(x["root"], starts)
-        left, right, held = [], [], 0
+        kept, held = [], 0
         for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist()):
             m = s + int(np.searchsorted(x["side"][s:e], 1)) if x["i"][s] != x["j"][s] else e
             for at in range(s, m):
                 b = np.arange(at + 1, e) if m == e and x["i"][s] == x["j"][s] else np.arange(m, e)
                 b = b[x["root"][b] != x["root"][at]]
-                a = np.full(len(b), at)
-                fine = possible(x, a, b, t)
-                left.append(a[fine])
-                right.append(b[fine])
-                held += len(left[-1])
+                a, b, differ = _near(x, np.full(len(b), at), b, t)
+                if more := len(b) > most:
+                    b = b[np.argsort(differ, kind="stable")[:most]]
+                kept.append((a[: len(b)], b, np.full(len(b), more)))
+                held += len(b)
                 if held > AT_ONCE:
-                    yield from _pairs(x, np.concatenate(left), np.concatenate(right))
-                    left, right, held = [], [], 0
+                    yield from _pairs(x, *map(np.concatenate, zip(*kept)))
+                    kept, held = [], 0
         if held:
-            yield from _pairs(x, np.concatenate(left), np.concatenate(right))
+            yield from _pairs(x, *map(np.concatenate, zip(*kept)))
 
-    return live.repartition(8 * width(live.sparkSession), *CELL).mapInArrow(run, "a bigint, b bigint")
+    return live.repartition(8 * width(live.sparkSession), *CELL).mapInArrow(run, "a bigint, b bigint, more boolean")
 
 
 def sketched(pairs: DataFrame, distinct: DataFrame, t: Fraction) -> DataFrame:
@@ -272,7 +328,7 @@ def sketched(pairs: DataFrame, distinct: DataFrame, t: Fraction) -> DataFrame:
                 p, q = sorted((np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)), key=len)
                 q = np.bitwise_xor.reduce(q.reshape(-1, len(p)), axis=0) if len(p) < len(q) else q
                 differ = int(np.bitwise_count(p ^ q).sum())
-                fine[k] = differ * (t.numerator + t.denominator) <= int(sizes[k]) * (t.denominator - t.numerator)
+                fine[k] = alike(differ, int(sizes[k]), t)
             yield batch.select(["a", "b"]).filter(pa.array(fine))
 
     pairs = pairs.distinct()
@@ -312,15 +368,23 @@ def similar_sets(docs: DataFrame, words: int, similarity: float) -> tuple[DataFr
     prints = settle(sets(docs, words, t, common), "shingle-sets")
     distinct = prints.select("fp", "size", "prefix").dropDuplicates(["fp"])
     live = settle(postings(distinct, common).repartition(8 * width(docs.sparkSession), *CELL).mapInArrow(shared, POSTING), "shingle-live")
-    sketches = settle(prints.select("fp", "size", "sketch").join(live.select(F.col("node").alias("fp")).distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "shingle-sketches")
+    own = prints.select("fp", "size", "sketch", "bits").join(live.select(F.col("node").alias("fp")).distinct(), "fp", "left_semi")
+    sketches = settle(own.dropDuplicates(["fp"]), "shingle-sketches")
+    live = settle(paired(live.join(sketches.select(F.col("fp").alias("node"), "bits"), "node"), t), "shingle-paired")
     by_chance = Window.partitionBy("b").orderBy(F.xxhash64("a", "b"), "a")
-    few = sketched(neighbours(live, t), sketches, t).withColumn("k", F.row_number().over(by_chance)).filter(F.col("k") <= NEIGHBOURS).drop("k")
+    some = lambda pairs: sketched(pairs, sketches, t).withColumn("k", F.row_number().over(by_chance))
+    few = some(neighbours(live, t)).filter(F.col("k") <= NEIGHBOURS).drop("k")
     few = few.unionByName(sketched(marked(prints, BUDGET), sketches, t)).distinct()
     near = verified(settle(few, "shingle-few"), docs, words, t)
-    roots = connected(near)
-    rooted = live.join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = verified(sketched(unconnected(rooted, t), sketches, t), docs, words, t)
-    return prints.select("doc_id", "fp"), connected(near.unionByName(rest))
+    roots, most, more = connected(near), FIRST, True
+    while more:
+        rooted = live.join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        asked = settle(unconnected(rooted, t, most), "shingle-asked")
+        ranked = settle(some(asked.select("a", "b")), "shingle-ranked")
+        more = not (asked.filter("more").isEmpty() and ranked.filter(F.col("k") > most).isEmpty())
+        near = near.unionByName(verified(ranked.filter(F.col("k") <= most).drop("k"), docs, words, t))
+        roots, most = connected(near), most * MORE
+    return prints.select("doc_id", "fp"), roots
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -569,6 +569,43 @@ def test_similar_is_exact(docs, monkeypatch):
     assert got == label and 100 < len(set(label.values())) < len(rows)
 
 
+@pytest.mark.parametrize("first", [1, 16])
+def test_large_group_of_near_copies_is_not_paired_out(docs, monkeypatch, first):
+    monkeypatch.setattr(shingles, "SAMPLED", 1)
+    monkeypatch.setattr(shingles, "FIRST", first, raising=False)
+    made = Counter()
+    for name in ("sketched", "verified"):
+
+        def counted(pairs, *more, name=name, f=getattr(shingles, name)):
+            made[name] += pairs.select("a", "b").distinct().count()
+            return f(pairs, *more)
+
+        monkeypatch.setattr(shingles, name, counted)
+    rng = random.Random(23)
+    base = [f"v{k}" for k in range(150)]
+    rows = []
+    for k in range(500):  # one to four words of their own, so that pairs are on both sides of 0.8
+        own = list(base)
+        for at in rng.sample(range(150), rng.choice((1, 2, 2, 3, 3, 4))):
+            own[at] = f"n{k}x{at}"
+        rows.append((k, " ".join(own)))
+    long = [f"l{k}" for k in range(3000)]  # longer than short sketches tell apart
+    for k in range(20):
+        own = list(long)
+        for at in rng.sample(range(3000), rng.choice((20, 50, 80))):
+            own[at] = f"m{k}x{at}"
+        rows.append((1000 + k, " ".join(own)))
+    of = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, x.split()) for i, x in rows)}
+    label = {i: i for i in of}
+    for a, b in itertools.combinations(of, 2):
+        if label[a] != label[b] and 5 * len(of[a] & of[b]) >= 4 * len(of[a] | of[b]):
+            lo, hi = sorted((label[a], label[b]))
+            label = {i: lo if c == hi else c for i, c in label.items()}
+    got = {r.doc_id: r.component_id for r in shingles.similar(docs(rows), words=5, similarity=0.8).collect()}
+    assert got == label and max(Counter(label.values()).values()) > 200 and len(set(label.values())) > 20
+    assert made["sketched"] + made["verified"] <= 20 * len(rows)
+
+
 def test_one_row_of_each_component_without_ids(docs):
     rng = random.Random(22)
     a, b, c = (" ".join(f"v{rng.randint(0, 5000)}" for _ in range(100)) for _ in range(3))
