@@ -13,6 +13,8 @@ PROSE, FLOOR_CHARS, FLOOR_SCORE = 0.75, 20, 0.70
 SECTION, SECONDS, GATE_SECONDS = 0.30, 30, 2700
 SAMPLE, LEAST_TRUSTED = 20, 10
 COVER, INVISIBLE, OVERLAY = 0.9, 0.5, 30
+#: So many characters at most are looked for one by one.
+FEW = 64
 
 
 def verdict(score: Column) -> Column:
@@ -28,7 +30,9 @@ def compare(pages: DataFrame, layer: str, reference: str, ranges=None, least: in
     ranges = tuple(ranges) if ranges else None
     part = lambda c: X.skeleton(F.col(c), ranges) if ranges else X.skeleton(F.col(c))
     out = once(pages, _l=part(layer), _r=part(reference))
-    one, two = X.containment(F.col("_l"), F.col("_r"), 1), X.containment(F.col("_l"), F.col("_r"), 2)
+    few = ranges and sum(b - a + 1 for a, b in ranges) <= FEW
+    one = X.share(X.present(F.col("_l"), ranges), X.present(F.col("_r"), ranges)) if few else X.containment(F.col("_l"), F.col("_r"), 1)
+    two = X.containment(F.col("_l"), F.col("_r"), 2)
     out = once(out, layer_chars=F.char_length("_l"), agreement=one).withColumn("bigram_agreement", two)
     dull = (F.col("layer_chars") < least) | (X.strip(F.coalesce(F.col(reference), F.lit(""))) == "")
     return out.withColumn("agreement_verdict", F.when(dull, "n/a").otherwise(verdict(F.col("agreement")))).drop("_l", "_r")

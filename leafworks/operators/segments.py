@@ -15,11 +15,10 @@ RUN = 4
 def page_offsets(pages: DataFrame, text: str = "text") -> DataFrame:
     """``(doc, page, total, offset)``: the offset most of a page's printed numbers vote for; ties go to the
     vote that comes first. Null where nothing votes."""
-    total = F.max("page").over(Window.partitionBy("doc"))
-    rows = pages.select("doc", "page", F.col(text).alias("_t")).withColumn("total", total)
-    votes = F.filter(
-        F.transform(N.candidates(X.solid_lines(F.col("_t"))), lambda n: F.when(n.between(1, F.col("total") + 5), F.col("page") - n)), lambda o: o.isNotNull() & (o >= 0) & (o <= F.col("page") - 1)
-    )
+    # at most six numbers of each page are kept before pages meet, so no text goes into the window
+    rows = once(pages.select("doc", "page", F.col(text).alias("_t")), _n=N.candidates(X.solid_lines(F.col("_t")))).select("doc", "page", "_n")
+    rows = rows.withColumn("total", F.max("page").over(Window.partitionBy("doc")))
+    votes = F.filter(F.transform("_n", lambda n: F.when(n.between(1, F.col("total") + 5), F.col("page") - n)), lambda o: o.isNotNull() & (o >= 0) & (o <= F.col("page") - 1))
     rows = once(rows, _v=votes)
     # the first of the distinct votes with the most voters
     counted = F.transform(F.array_distinct("_v"), lambda o: F.struct(F.size(F.filter("_v", lambda x: x == o)).alias("n"), (-F.array_position("_v", o)).alias("first"), o.alias("o")))

@@ -71,7 +71,7 @@ STRIP = "select doc, ord, cast(case when ord % 11 = 0 then 3 else ord * 2 end as
 )
 def recovered_numbers(spark, sf_dir):
     entries = O.entries(spark, sf_dir)
-    strip = O.sql(spark, sf_dir, [O.PAGE_TEXT, O.ENTRIES], STRIP)
+    strip = O.sql(spark, sf_dir, [O.PAGE_TEXT, O.ENTRIES], STRIP, O.HEAD)
     return outline.recovered_numbers(entries, strip).select("doc", "ord", "printed")
 
 
